@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +11,7 @@ from treeline.operators import (
     content, deletion, duplicates, hierarchy, inventory, organize, recovery, reports, triage,
 )
 from treeline.plans import sample_inventory as sample
+from treeline.sources.workspace import new_folder
 from treeline.streaming import arrivals
 
 
@@ -362,14 +360,9 @@ def unfenced_replies(spark: SparkSession, d: str) -> DataFrame:
 
 def incremental_inventory(spark: SparkSession, d: str) -> DataFrame:
     """The files of all drives arriving as a stream of inventory drops."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    if "://" in base:
-        folder = f"{base}/arrivals_{os.urandom(6).hex()}"
-    else:
-        os.makedirs(base, exist_ok=True)
-        folder = tempfile.mkdtemp(prefix="arrivals_", dir=base)
+    folder = new_folder(spark, "arrivals")
     drops = f"{folder}/drops"
-    sample.conformed(spark, d).drop("text").write.mode("append").parquet(drops)
+    sample.conformed(spark, d).write.parquet(drops)
     stored = arrivals.run_available(spark, drops, f"{folder}/state")
     return stored.select("drive_id", "path", "md5_hash", "duplicate_kind", "duplicate_source_path")
 

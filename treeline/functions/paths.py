@@ -1,93 +1,121 @@
-"""Windows path rules as Column expressions.
+r"""Windows path rules as Column expressions.
 
 Both separators are accepted, repeated separators and "." parts vanish, ".." stays,
 and two paths are the same when their normal forms match in any letter case. The
 root of a path is its drive (or share) with or without the separator after it.
+
+Every step refers to its input once, or binds it to a lambda variable: a path is
+often itself a computed column, and repeating it would multiply the plan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEP = "\\"
+_ROOT = r"\\\\[^\\]+\\[^\\]+\\|[A-Za-z]:\\?|\\"
 
 
-def _slashed(path: Column) -> Column:
-    return F.translate(path, "/", SEP)
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it several times."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def drive(path: Column) -> Column:
-    """Drive letter with colon, UNC share, or an empty text."""
-    return F.regexp_extract(_slashed(path), r"^(\\\\[^\\]+\\[^\\]+|[A-Za-z]:)", 1)
+def normalize(path: Column) -> Column:
+    text = F.translate(path, "/", SEP)
+    for pattern, put in [
+        (r"(?<=^|\\|^[A-Za-z]:)\.(?:\\+|$)", ""),        # "." parts
+        (r"(?<!^)\\{2,}", r"\\"),                          # repeated separators
+        (r"(?<!^)(?<!^[A-Za-z]:)\\$", ""),                 # separator at the end
+        (r"^(\\\\[^\\]+\\[^\\]+)$", r"$1\\"),              # a share is its own root
+        (r"^$", "."),
+    ]:
+        text = F.regexp_replace(text, pattern, put)
+    return text
 
 
-def _rest(path: Column) -> Column:
-    return F.substr(_slashed(path), F.length(drive(path)) + 1)
+def compare_key(path: Column) -> Column:
+    """Equal for paths that name the same place."""
+    return F.lower(normalize(path))
 
 
-def prefix(path: Column) -> Column:
-    """Everything before the first part: drive plus separator when rooted."""
-    rooted = F.startswith(_rest(path), F.lit(SEP)) | F.startswith(drive(path), F.lit(SEP))
-    return F.concat(drive(path), F.when(rooted, SEP).otherwise(""))
+def _prefix(norm: Column) -> Column:
+    return F.regexp_extract(norm, f"^({_ROOT})?", 1)
 
 
-def parts(path: Column) -> Column:
-    """The names below the root, outermost first."""
-    return F.filter(F.split(_rest(path), r"\\"), lambda x: (x != "") & (x != "."))
+def _parts(norm: Column) -> Column:
+    names = F.split(F.regexp_replace(norm, f"^(?:{_ROOT})", ""), r"\\")
+    return F.filter(names, lambda x: (x != "") & (x != "."))
 
 
-def normalize(path: Column) -> Column:
-    text = F.concat(prefix(path), F.array_join(parts(path), SEP))
-    return F.when(text == "", ".").otherwise(text)
+def _ups(norm: Column) -> Column:
+    """Number of directories above, the root left out."""
+    n = F.size(_parts(norm))
+    return F.greatest(n - 1, F.lit(0)) + F.when(
+        (n > 0) & (_prefix(norm) == ""), 1).otherwise(0)
 
 
-def compare_key(path: Column) -> Column:
-    """Equal for paths that name the same place."""
-    return F.lower(normalize(path))
+def _up(norm: Column, distance: Column) -> Column:
+    """`distance` steps up, for a distance from 1 to the number of directories above."""
+    separators = F.length(norm) - F.length(F.translate(norm, SEP, ""))
+    return F.when(distance > separators, ".").otherwise(
+        F.call_function("substring_index", norm, F.lit(SEP), separators + 1 - distance))
 
 
-def _above(lead: Column, names: Column) -> Column:
-    n = F.size(names)
-    named = F.when(
-        n > 1,
-        F.transform(
-            F.sequence(n - 1, F.lit(1), F.lit(-1)),
-            lambda i: F.concat(lead, F.array_join(F.slice(names, F.lit(1), i), SEP)),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    relative = (lead == "") & (n > 0)
-    return F.when(relative, F.concat(named, F.array(F.lit(".")))).otherwise(named)
+def _above(norm: Column) -> Column:
+    return _let(_ups(norm), lambda n: F.when(
+        n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: _up(norm, i))
+    ).otherwise(F.array().cast("array<string>")))
+
+
+def prefix(path: Column) -> Column:
+    """Everything before the first part: drive plus separator when rooted."""
+    return _prefix(normalize(path))
+
+
+def drive(path: Column) -> Column:
+    """Drive letter with colon, UNC share, or an empty text."""
+    return F.regexp_extract(normalize(path), r"^(\\\\[^\\]+\\[^\\]+|[A-Za-z]:)", 1)
+
+
+def parts(path: Column) -> Column:
+    """The names below the root, outermost first."""
+    return _parts(normalize(path))
 
 
 def ancestors(path: Column) -> Column:
     """Directories above a path, nearest first, without the root."""
-    return _above(prefix(path), parts(path))
+    return _let(normalize(path), _above)
 
 
 def ancestor_keys(path: Column) -> Column:
-    return ancestors(F.lower(path))
+    return _let(compare_key(path), _above)
 
 
 def self_and_ancestor_keys(path: Column) -> Column:
-    return F.concat(F.array(compare_key(path)), ancestor_keys(path))
+    return _let(compare_key(path), lambda p: F.concat(F.array(p), _above(p)))
+
+
+def self_and_ancestors(path: Column) -> Column:
+    return _let(normalize(path), lambda p: F.concat(F.array(p), _above(p)))
 
 
 def ancestor_at(path: Column, distance: Column) -> Column:
     """The directory `distance` steps up, spelled as in the path itself."""
-    names = parts(path)
-    kept = F.size(names) - distance
-    lead = prefix(path)
-    return (
-        F.when((kept >= 1) & (distance >= 1),
-               F.concat(lead, F.array_join(F.slice(names, F.lit(1), kept), SEP)))
-        .when((kept == 0) & (distance >= 1) & (lead == ""), F.lit("."))
-    )
+    return _let(normalize(path), lambda p: F.when(
+        (distance >= 1) & (distance <= _ups(p)), _up(p, distance)))
+
+
+def parent(path: Column) -> Column:
+    """The directory that holds the path; null directly below the root."""
+    return ancestor_at(path, F.lit(1))
 
 
 def parent_key(path: Column) -> Column:
-    """Key of the directory that holds the path; null directly below the root."""
-    return F.lower(ancestor_at(path, F.lit(1)))
+    return F.lower(parent(path))
 
 
 def is_root(path: Column) -> Column:
@@ -95,7 +123,7 @@ def is_root(path: Column) -> Column:
 
 
 def base_name(path: Column) -> Column:
-    return F.coalesce(F.try_element_at(parts(path), F.lit(-1)), F.lit(""))
+    return F.regexp_extract(normalize(path), r"^(?!\.$)(?:[A-Za-z]:)?(?:.*\\)?([^\\]*)$", 1)
 
 
 def depth(path: Column) -> Column:
@@ -103,12 +131,11 @@ def depth(path: Column) -> Column:
 
 
 def separator_count(path: Column) -> Column:
-    return (F.length(path) - F.length(F.replace(path, F.lit(SEP), F.lit("")))).cast("long")
+    return (F.length(path) - F.length(F.translate(path, SEP, ""))).cast("long")
 
 
 def drive_letter(path: Column) -> Column:
-    return F.when(F.substr(path, F.lit(2), F.lit(1)) == ":",
-                  F.substr(path, F.lit(1), F.lit(2))).otherwise("")
+    return F.regexp_extract(path, r"(?s)^(.:)", 1)
 
 
 def extension(name: Column) -> Column:

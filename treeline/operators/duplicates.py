@@ -91,9 +91,8 @@ def classify(
 
     keyed = scanned.withColumn("_hash", F.when(eligible, F.col("md5_hash")))
     matched = matched.withColumnRenamed("md5_hash", "_hash")
-    counts = matched.select("drive_id", "_hash", "n")
     rows = lookup_join(
-        keyed, matched.drop("n"), counts, ["drive_id", "_hash"], ["path", order], "left", hot_rows)
+        keyed, matched, ["drive_id", "_hash"], ["path", order], "left", hot_rows=hot_rows)
 
     kind = (
         F.when(F.col("baseline_path").isNotNull(), "baseline_scan")

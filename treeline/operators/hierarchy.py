@@ -51,11 +51,27 @@ def _chain(directories: DataFrame, scope: list[str]) -> DataFrame:
 def _match_chain(
     directories: DataFrame, marks: DataFrame, scope: list[str], hot_rows: int
 ) -> DataFrame:
-    """(directory, step, mark columns) for every marked directory on the way up."""
+    """(directory, step, mark columns) for every marked directory on the way up.
+
+    `marks` is unique per key. Counting the directories below each key first leaves
+    only marks that have any, usually few enough for a broadcast at run time, and
+    tells which of them are hot.
+    """
     chain = _chain(directories, scope)
     on = [*scope, "_key"]
-    counts = chain.groupBy(*on).agg(F.count("*").alias("n"))
-    return lookup_join(chain, marks, counts, on, ["_parent"], "inner", hot_rows)
+    below = chain.groupBy(*on).agg(F.count("*").alias("n"))
+    return lookup_join(chain, marks.join(below, on), on, ["_parent"], "inner", hot_rows=hot_rows)
+
+
+def _lookup_parent(
+    keyed: DataFrame, found: DataFrame, directories: DataFrame, scope: list[str],
+    spread: list[str], hot_rows: int,
+) -> DataFrame:
+    """Give every row what was found for the directory that holds it."""
+    on = [*scope, "_parent"]
+    return lookup_join(
+        keyed, found.join(directories, on), on, spread, "left",
+        counts=directories, hot_rows=hot_rows)
 
 
 def resolve(
@@ -87,12 +103,12 @@ def resolve(
     position = F.struct(order, "path")
 
     by_key = keyed.groupBy(*scope, "_key").agg(
-        F.count("*").alias("_rows"),
+        F.count("*").alias("n"),
         *[F.max_by(F.col(c), F.when(stated[c], position)).alias(f"_own_{c}") for c in present],
     ).where(_any([F.col(f"_own_{c}").isNotNull() for c in present]))
 
     directories = _directories(keyed, scope)
-    above = _match_chain(directories, by_key.drop("_rows"), scope, hot_rows).groupBy(
+    above = _match_chain(directories, by_key.drop("n"), scope, hot_rows).groupBy(
         *scope, "_parent"
     ).agg(*[
         F.min_by(
@@ -101,20 +117,16 @@ def resolve(
         ).alias(f"_up_{c}")
         for c in present
     ])
-    rows = lookup_join(
-        keyed, above, directories, [*scope, "_parent"], ["path", order], "left", hot_rows
-    )
+    rows = _lookup_parent(keyed, above, directories, scope, ["path", order], hot_rows)
 
     # Only paths that occur on several rows need the shared value.
-    shared = by_key.where(F.col("_rows") > 1)
+    shared = by_key.where(F.col("n") > 1).withColumn("_shared", F.lit(True))
     rows = lookup_join(
-        rows, shared, shared.withColumnRenamed("_rows", "n"), [*scope, "_key"],
-        ["path", order], "left", hot_rows,
-    )
+        rows, shared, [*scope, "_key"], ["path", order], "left", hot_rows=hot_rows)
 
     out = {}
     for c in present:
-        own = F.when(F.col("_rows").isNotNull(), F.col(f"_own_{c}")).when(stated[c], F.col(c))
+        own = F.when(F.col("_shared"), F.col(f"_own_{c}")).when(stated[c], F.col(c))
         up = F.col(f"_up_{c}")
         out[f"effective_{c}"] = F.coalesce(own, up["value"])
         out[f"{c}_distance"] = F.when(own.isNotNull(), 0).otherwise(up["step"]).cast("int")
@@ -210,13 +222,12 @@ def mark_below(
     directories = _directories(keyed, scope)
     under = _match_chain(directories, marked, scope, hot_rows).select(
         *scope, "_parent").distinct().withColumn("_under", F.lit(True))
-    rows = lookup_join(
-        keyed, under, directories, [*scope, "_parent"], [spread], "left", hot_rows)
+    rows = _lookup_parent(keyed, under, directories, scope, [spread], hot_rows)
     hit = F.col("_under").isNotNull()
     if with_self:
-        counts = keyed.groupBy(*scope, "_key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+        counts = keyed.groupBy(*scope, "_key").agg(F.count("*").alias("n"))
         rows = lookup_join(
-            rows, marked.withColumn("_self", F.lit(True)), counts, [*scope, "_key"],
-            [spread], "left", hot_rows)
+            rows, marked.join(counts, [*scope, "_key"]).withColumn("_self", F.lit(True)),
+            [*scope, "_key"], [spread], "left", hot_rows=hot_rows)
         hit = hit | F.col("_self").isNotNull()
     return rows.select(*[F.col(c) for c in df.columns], hit.alias(name))

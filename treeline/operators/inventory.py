@@ -17,15 +17,14 @@ def directory_rows(files: DataFrame, order: str = "row_seq") -> DataFrame:
     A directory takes the order number of the first file below it, as a scan would
     report it just before that file. Parents are reduced before they are expanded.
     """
-    text = paths.normalize(F.col("path"))
     parents = (
-        files.select("drive_id", order, paths.ancestor_at(text, F.lit(1)).alias("_dir"))
+        files.select("drive_id", order, paths.parent(F.col("path")).alias("_dir"))
         .where(F.col("_dir").isNotNull())
         .groupBy("drive_id", "_dir").agg(F.min(order).alias(order))
     )
-    up = F.concat(F.array("_dir"), paths.ancestors(F.col("_dir")))
+    up = F.explode(paths.self_and_ancestors(F.col("_dir")))
     return (
-        parents.select("drive_id", order, F.explode(up).alias("path"))
+        parents.select("drive_id", order, up.alias("path"))
         .groupBy("drive_id", "path").agg(F.min(order).alias(order))
         .select(
             "drive_id", order, "path",

@@ -62,8 +62,8 @@ def copy_plan(
                paths.compare_key(F.col("_target"))))
     taken = rows.where(F.col("_dest_key").isNotNull()).groupBy("_dest_key").agg(
         F.count("*").alias("n")).where(F.col("n") > 1)
-    shared = taken.select("_dest_key", F.lit(True).alias("_shared"))
-    rows = lookup_join(rows, shared, taken, ["_dest_key"], ["path"], "left", hot_rows)
+    shared = taken.withColumn("_shared", F.lit(True))
+    rows = lookup_join(rows, shared, ["_dest_key"], ["path"], "left", hot_rows=hot_rows)
     status = (
         F.when(_no_target(F.col("organized_path")), "SKIPPED")
         .when(F.col("_dest_key").isNull() | F.col("_shared"), "FAILED")

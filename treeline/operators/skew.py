@@ -1,4 +1,4 @@
-"""Left lookups that stay balanced when one key holds a large share of the rows."""
+"""Lookups that stay balanced when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
@@ -27,32 +27,29 @@ def hot_keys(counts: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> Data
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,
-    counts: DataFrame,
     on: list[str],
     spread: list[str],
     how: str = "left",
+    *,
+    counts: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join rows to a lookup that is unique on `on`.
+    """Join rows to a lookup that is unique on `on` and whose `n` counts their rows.
 
-    `counts` gives the number of rows per key. Rows of hot keys get a salt from the
-    `spread` columns (so a recomputed task draws the same one) and the few matching
-    lookup rows are repeated once per salt; all other keys join as usual. Which
-    keys are hot decides only where a row travels, never what it is joined to.
+    Rows of hot keys get a salt from the `spread` columns (so a recomputed task draws
+    the same one) and the lookup rows of such keys are repeated once per salt; all
+    other keys join as usual. `counts` (keys, n) may name hot keys that the lookup
+    lacks. Which keys are hot decides where a row travels, never what it is joined to.
     """
-    hot = F.broadcast(hot_keys(counts, on, hot_rows).withColumn("_hot", F.lit(True)))
+    hot = hot_keys(lookup if counts is None else counts, on, hot_rows)
     bucket = F.xxhash64(*spread)
     keyless = reduce(or_, [F.col(c).isNull() for c in on])
-    left = rows.join(hot, on, "left").withColumn(
+    left = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left").withColumn(
         "_salt",
         F.when(keyless, F.pmod(bucket, F.lit(NULL_SALTS)))
         .when(F.col("_hot"), F.pmod(bucket, F.lit(SALTS)))
         .otherwise(F.lit(0)).cast("int"),
     ).drop("_hot")
-    last = F.when(F.col("_hot"), SALTS - 1).otherwise(0)
-    right = (
-        lookup.join(hot, on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
-        .drop("_hot")
-    )
+    last = F.when(F.col("n") >= hot_rows, SALTS - 1).otherwise(0)
+    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("n")
     return left.join(right, on + ["_salt"], how).drop("_salt")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from treeline.functions import paths
 from treeline.operators.inventory import with_directories
-from treeline.schema import conform
+from treeline.schema import INVENTORY, conform
+from treeline.sources.workspace import new_folder
 
 BASELINE_DRIVE = "C:"
 KEPT_DRIVE = "E:"
@@ -98,10 +99,6 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def conformed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conform(inventory(spark, sf_dir))
-
-
 def kept_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was recovered from the E: drive before: its labelled good documents."""
     good = files(spark, sf_dir).where(
@@ -150,3 +147,19 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = text_lines(spark, sf_dir, ".docx")
     return lines.select("path", F.col("line_no").cast("long").alias("para_no"),
                         F.col("line").alias("text"))
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def conformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory as a scan would leave it: a table, written once per application.
+
+    Later phases read its narrow columns several times; the texts behind the sizes
+    and hashes are read once.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        folder = new_folder(spark, "inventory")
+        conform(inventory(spark, sf_dir)).drop("text").write.parquet(folder)
+        _STORED[key] = folder
+    return spark.read.schema(INVENTORY).parquet(_STORED[key])
