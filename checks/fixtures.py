@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.functions import paths
 from treeline.operators import duplicates, recovery, triage
 from treeline.plans import sample_inventory as sample
+from treeline.sources.workspace import stored
 
 EARLIER = "2021-01-01T00:00:00"
 COPIED_AT = "2024-05-01T12:00:00"
@@ -58,6 +58,11 @@ def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.copy_plan(recovery.copy_eligible(inv), "/recovered/")
 
 
+def reviewed_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copy plan as a table, the form in which a copy job takes it."""
+    return stored(plan(spark, sf_dir), "copy_plan")
+
+
 def copied_files(planned: DataFrame) -> DataFrame:
     """What a listing of the destination would show, some files damaged or absent."""
     done = planned.where((F.col("plan_status") == "PLANNED") & (F.col("drive_id") != "C:"))
@@ -69,7 +74,9 @@ def copied_files(planned: DataFrame) -> DataFrame:
 
 
 def triage_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triage.triage_rows(duplicates.mark_duplicates(classified(spark, sf_dir)))
+    """The numbered rows as a table: the rows of a batch must not change once sent."""
+    marked = duplicates.mark_duplicates(classified(spark, sf_dir))
+    return stored(triage.triage_rows(marked), "triage_rows")
 
 
 def replies(rows: DataFrame) -> DataFrame:
@@ -112,7 +119,3 @@ def assignments(eligible: DataFrame) -> DataFrame:
         F.concat(F.lit("Large/"), F.col("filename")).alias("organized_path"),
         F.lit(1).alias("position"))
     return first.unionByName(again)
-
-
-def parent_directory(df: DataFrame) -> DataFrame:
-    return df.withColumn("parent", paths.parent_key(F.col("path")))

@@ -502,8 +502,8 @@ FROM files f LEFT JOIN pdf_facts p ON f.path = p.path""", FILES, PAGES),
     "sheet_preview": query("SELECT path, sheet, row_no, shown FROM preview",
                            FILES, lines(".xlsx"), SHEETS),
     "sheet_text": query(_text_facts("""(
-    SELECT path, sheet_no * 21 + shown AS at, line FROM preview
-    UNION ALL SELECT DISTINCT path, sheet_no * 21, concat('Sheet: ', sheet) FROM cells)""", "at", "line"),
+    SELECT path, sheet_no * 21 + shown AS place, line FROM preview
+    UNION ALL SELECT DISTINCT path, sheet_no * 21, concat('Sheet: ', sheet) FROM cells)""", "place", "line"),
                         FILES, lines(".xlsx"), SHEETS),
     "paragraph_join": query(_text_facts(
         "(SELECT * FROM lines WHERE trim(line, concat(' ', chr(9), chr(13))) <> '')", "line_no", "line"),

@@ -11,7 +11,7 @@ from treeline.operators import (
     content, deletion, duplicates, hierarchy, inventory, organize, recovery, reports, triage,
 )
 from treeline.plans import sample_inventory as sample
-from treeline.sources.workspace import new_folder
+from treeline.sources.workspace import new_folder, stored
 from treeline.streaming import arrivals
 
 
@@ -139,35 +139,37 @@ def _delete_input(spark: SparkSession, d: str) -> DataFrame:
     })
 
 
-def _candidates(inv: DataFrame) -> DataFrame:
-    return deletion.subtree_candidates(inv, deletion.delete_manifest(inv))
+def _plan_tables(inv: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The manifest and the subtree plan as tables, as people would review them."""
+    manifest = stored(deletion.delete_manifest(inv), "manifest")
+    return manifest, stored(deletion.subtree_candidates(inv, manifest), "subtrees")
 
 
 def subtree_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return _candidates(_delete_input(spark, d)).select(
+    return _plan_tables(_delete_input(spark, d))[1].select(
         "drive_id", "path", "separators", _flag("has_pruned_descendant"))
 
 
 def covered_rows(spark: SparkSession, d: str) -> DataFrame:
     inv = _delete_input(spark, d)
-    return deletion.covered_rows(inv, _candidates(inv)).select("drive_id", "path", _flag("covered"))
+    return deletion.covered_rows(inv, _plan_tables(inv)[1]).select(
+        "drive_id", "path", _flag("covered"))
 
 
 def delete_files_plan(spark: SparkSession, d: str) -> DataFrame:
     inv = _delete_input(spark, d)
-    return deletion.delete_files_plan(inv, deletion.delete_manifest(inv), _candidates(inv)).select(
+    return deletion.delete_files_plan(inv, *_plan_tables(inv)).select(
         "drive_id", "path", "size_bytes")
 
 
 def delete_outcomes(spark: SparkSession, d: str) -> DataFrame:
     inv = _delete_input(spark, d)
-    trees = _candidates(inv).select(
-        "drive_id", "path",
-        F.when(F.col("has_pruned_descendant"), "FAILED").otherwise("DELETED").alias("delete_status"))
-    single = deletion.delete_files_plan(
-        inv, deletion.delete_manifest(inv), _candidates(inv)
-    ).select("drive_id", "path", F.when(F.col("extension") == ".exe", "FAILED")
-             .otherwise("DELETED").alias("delete_status"))
+    manifest, subtrees = _plan_tables(inv)
+    trees = subtrees.select("drive_id", "path", F.when(
+        F.col("has_pruned_descendant"), "FAILED").otherwise("DELETED").alias("delete_status"))
+    single = deletion.delete_files_plan(inv, manifest, subtrees).select(
+        "drive_id", "path", F.when(F.col("extension") == ".exe", "FAILED")
+        .otherwise("DELETED").alias("delete_status"))
     return deletion.apply_delete_outcomes(inv, trees, single).select(
         "drive_id", "path", "delete_status")
 
@@ -300,26 +302,26 @@ def copy_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def copy_verify(spark: SparkSession, d: str) -> DataFrame:
-    planned = fx.plan(spark, d)
+    planned = fx.reviewed_plan(spark, d)
     return recovery.verify_copies(planned, fx.copied_files(planned)).select(
         "drive_id", "path", "copy_status")
 
 
 def copy_counts(spark: SparkSession, d: str) -> DataFrame:
-    planned = fx.plan(spark, d)
+    planned = fx.reviewed_plan(spark, d)
     return recovery.copy_counts(
         recovery.verify_copies(planned, fx.copied_files(planned)), ["drive_id"])
 
 
 def kept_registry_rows(spark: SparkSession, d: str) -> DataFrame:
-    planned = fx.plan(spark, d)
+    planned = fx.reviewed_plan(spark, d)
     done = recovery.verify_copies(planned, fx.copied_files(planned))
     return recovery.registry_rows(done, F.lit(fx.COPIED_AT))
 
 
 def status_fold(spark: SparkSession, d: str) -> DataFrame:
     inv = fx.with_targets(sample.conformed(spark, d))
-    planned = fx.plan(spark, d)
+    planned = fx.reviewed_plan(spark, d)
     outcomes = recovery.verify_copies(planned, fx.copied_files(planned))
     return content.fold_outcomes(inv, outcomes, "copy_status", ["drive_id", "path"]).select(
         "drive_id", "path", "copy_status")

@@ -16,6 +16,7 @@ from treeline.operators.hierarchy import (
 )
 from treeline.operators.skew import HOT_ROWS
 from treeline.schema import ensure_columns
+from treeline.sources.workspace import stored
 
 
 def delete_manifest(
@@ -106,10 +107,10 @@ def subtree_candidates(
         found = found.join(existing.select("path").distinct(), "path", "left_semi")
     found = found.withColumn("_key", paths.compare_key(F.col("path")))
     held = keys_above(protected_rows(df), within)
-    clean = found.join(held, [*scope, "_key"], "left_anti")
-    keys = clean.select(*scope, "_key").distinct()
+    clean = stored(found.join(held, [*scope, "_key"], "left_anti"), "clean_directories")
+    keys = clean.select(*scope, "_key").distinct().withColumn("_mark", F.lit(True))
     top = mark_below(clean, keys, "_inside", with_self=False, within=within,
-                     hot_rows=hot_rows).where(~F.col("_inside"))
+                     hot_rows=hot_rows).where(F.col("_inside").isNull())
 
     skipped = df.where(F.coalesce(F.col("comment") == COMMENT_EXCLUDED, F.lit(False))) \
         if "comment" in df.columns else df.limit(0)
@@ -121,17 +122,23 @@ def subtree_candidates(
         F.coalesce("_pruned", F.lit(False)).alias("has_pruned_descendant"))
 
 
-def subtree_keys(candidates: DataFrame, within: tuple[str, ...] = SCOPE) -> DataFrame:
-    return candidates.select(*within, paths.compare_key(F.col("path")).alias("_key")).distinct()
+def _subtree_marks(subtrees: DataFrame, mark: Column, within: tuple[str, ...]) -> DataFrame:
+    key = paths.compare_key(F.col("path")).alias("_key")
+    return subtrees.select(*within, key, mark.alias("_mark")).groupBy(*within, "_key").agg(
+        F.max("_mark").alias("_mark"))
 
 
 def covered_rows(
     df: DataFrame, candidates: DataFrame, *, within: tuple[str, ...] = SCOPE,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add `covered`: the row is a planned subtree or lies below one."""
-    return mark_below(df, subtree_keys(candidates, within), "covered", with_self=True,
-                      within=within, hot_rows=hot_rows)
+    """Add `covered`: the row is a planned subtree or lies below one.
+
+    `candidates` is read several times; pass a stored table.
+    """
+    marks = _subtree_marks(candidates, F.lit(True), within)
+    return mark_below(df, marks, "covered", with_self=True, within=within, hot_rows=hot_rows
+                      ).withColumn("covered", F.coalesce("covered", F.lit(False)))
 
 
 def delete_files_plan(
@@ -157,15 +164,9 @@ def apply_delete_outcomes(
     All rows of a subtree take its outcome, a failed one included.
     """
     df = ensure_columns(df, ["delete_status"])
-    gone = subtrees.where(F.col("delete_status") == "DELETED")
-    kept = subtrees.where(F.col("delete_status") != "DELETED")
-    rows = mark_below(df, subtree_keys(gone, within), "_gone", with_self=True, within=within,
-                      hot_rows=hot_rows)
-    rows = mark_below(rows, subtree_keys(kept, within), "_kept", with_self=True, within=within,
-                      hot_rows=hot_rows)
+    outcome = F.when(F.col("delete_status") == "DELETED", "DELETED").otherwise("FAILED")
+    rows = mark_below(df, _subtree_marks(subtrees, outcome, within), "_tree", with_self=True,
+                      within=within, hot_rows=hot_rows)
     single = files.select(*within, "path", F.col("delete_status").alias("_single"))
     return rows.join(single, [*within, "path"], "left").withColumn(
-        "delete_status",
-        F.when(F.col("_gone"), "DELETED").when(F.col("_kept"), "FAILED")
-        .otherwise(F.coalesce("_single", "delete_status")),
-    ).select(*df.columns)
+        "delete_status", F.coalesce("_tree", "_single", "delete_status")).select(*df.columns)

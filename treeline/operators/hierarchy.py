@@ -213,21 +213,23 @@ def mark_below(
     df: DataFrame, marked: DataFrame, name: str, *, with_self: bool,
     within: tuple[str, ...] = SCOPE, spread: str = "path", hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add a boolean: is a marked directory above the row (or the row itself).
+    """Add the mark of a directory above the row (or of the row itself), else null.
 
-    `marked` holds distinct (scope columns, _key).
+    `marked` holds (scope columns, _key, _mark), one row per key; where marked
+    directories lie inside each other the greatest mark counts. Pass a stored table:
+    it is read several times.
     """
     scope = list(within)
     keyed = with_keys(df)
     directories = _directories(keyed, scope)
-    under = _match_chain(directories, marked, scope, hot_rows).select(
-        *scope, "_parent").distinct().withColumn("_under", F.lit(True))
+    under = _match_chain(directories, marked, scope, hot_rows).groupBy(*scope, "_parent").agg(
+        F.max("_mark").alias("_above"))
     rows = _lookup_parent(keyed, under, directories, scope, [spread], hot_rows)
-    hit = F.col("_under").isNotNull()
+    mark = F.col("_above")
     if with_self:
         counts = keyed.groupBy(*scope, "_key").agg(F.count("*").alias("n"))
         rows = lookup_join(
-            rows, marked.join(counts, [*scope, "_key"]).withColumn("_self", F.lit(True)),
-            [*scope, "_key"], [spread], "left", hot_rows=hot_rows)
-        hit = hit | F.col("_self").isNotNull()
-    return rows.select(*[F.col(c) for c in df.columns], hit.alias(name))
+            rows, marked.join(counts, [*scope, "_key"]), [*scope, "_key"], [spread], "left",
+            hot_rows=hot_rows)
+        mark = F.greatest(mark, F.col("_mark"))
+    return rows.select(*[F.col(c) for c in df.columns], mark.alias(name))

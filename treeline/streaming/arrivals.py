@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treeline.operators import duplicates, inventory
 from treeline.schema import INVENTORY, REGISTRY, conform
@@ -60,8 +61,8 @@ def arrival_writer(
 
 
 def read_state(spark: SparkSession, state: str) -> DataFrame:
-    columns = INVENTORY.simpleString()[len("struct<"):-1]
-    return spark.read.schema(columns + ",batch_id:long").parquet(f"{state}/{STATE_FOLDER}")
+    columns = T.StructType([*INVENTORY.fields, T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(columns).parquet(f"{state}/{STATE_FOLDER}")
 
 
 def run_available(
