@@ -18,6 +18,9 @@ from treeline.schema import ensure_columns
 # Long documents are joined in sections of this many pieces, then per file.
 SECTION = 1000
 
+# White space as in fixed_values.WHITESPACE; (?U) takes in the Unicode spaces.
+SPACES = r"(?U)[\s\x1c-\x1f]+"
+
 Summarizer = Callable[[str, str], str]
 
 
@@ -42,10 +45,15 @@ def image_base64(content: Column) -> Column:
 
 
 def truncate_words(text: Column, limit: int = fixed.DEFAULT_MAX_WORDS) -> Column:
-    """The first `limit` words joined by spaces; a shorter text stays as it is."""
-    words = F.split(strip(text), f"[{fixed.WHITESPACE}]+")
-    return F.when(F.size(words) <= limit, text).otherwise(
-        F.array_join(F.slice(words, 1, limit), " "))
+    """The first `limit` words joined by spaces; a shorter text stays as it is.
+
+    The split stops behind the last word needed.
+    """
+    words = F.split(strip(text), SPACES, limit + 1)
+    return F.element_at(F.transform(
+        F.array(words),
+        lambda w: F.when(F.size(w) <= limit, text).otherwise(F.array_join(F.slice(w, 1, limit), " ")),
+    ), 1)
 
 
 def join_pieces(pieces: DataFrame, keys: list[str], position: str, text: str) -> DataFrame:

@@ -136,8 +136,10 @@ def verify_copies(plan: DataFrame, copied: DataFrame) -> DataFrame:
     and source_md5. The scanned hash decides; without one the present source hash.
     """
     extra = [c for c in ("source_size", "source_md5") if c in copied.columns]
-    facts = copied.select("dest", "dest_size", "dest_md5", *extra)
-    rows = plan.join(facts, "dest", "left")
+    facts = copied.select(F.col("dest").alias("_dest"), "dest_size", "dest_md5", *extra)
+    # Rows without a target get a key of their own, so they do not pile up on null.
+    keyed = plan.withColumn("_dest", F.coalesce("dest", F.concat(F.lit("\u0000"), "path")))
+    rows = keyed.join(facts, "_dest", "left")
     size = F.coalesce(F.col("source_size"), F.col("size_bytes")) \
         if "source_size" in extra else F.col("size_bytes")
     present = F.col("source_md5") if "source_md5" in extra else F.lit(None).cast("string")

@@ -151,15 +151,20 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORED: dict[tuple[str, str], str] = {}
 
 
+def ingest(spark: SparkSession, sf_dir: str) -> str:
+    """Write the inventory as a scan would leave it; returns the folder."""
+    folder = new_folder(spark, "inventory")
+    conform(inventory(spark, sf_dir)).drop("text").write.parquet(folder)
+    return folder
+
+
 def conformed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inventory as a scan would leave it: a table, written once per application.
+    """The inventory table, written once per application.
 
     Later phases read its narrow columns several times; the texts behind the sizes
     and hashes are read once.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
-        folder = new_folder(spark, "inventory")
-        conform(inventory(spark, sf_dir)).drop("text").write.parquet(folder)
-        _STORED[key] = folder
+        _STORED[key] = ingest(spark, sf_dir)
     return spark.read.schema(INVENTORY).parquet(_STORED[key])
