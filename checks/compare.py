@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import sys
 import time
+from collections import Counter
 
 import duckdb
 from pyspark.sql import SparkSession
@@ -15,6 +16,8 @@ from pyspark.sql import SparkSession
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
+TYPES = {"BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double"}
+
 
 def _value(v: object) -> str:
     if v is None or (isinstance(v, float) and math.isnan(v)):
@@ -48,10 +51,13 @@ def compare(spark: SparkSession, con: duckdb.DuckDBPyConnection, query, sql: str
     theirs = rows_of(other, cur.fetchall())
     if sorted(names) != sorted(other):
         return False, len(mine), f"columns {sorted(names)} / {sorted(other)}"
+    kinds = {c[0]: TYPES.get(str(c[1]).upper(), str(c[1])) for c in cur.description}
+    if kinds != dict(df.dtypes):
+        return False, len(mine), f"types {sorted(set(kinds.items()) ^ set(df.dtypes))}"
     if mine == theirs:
         return True, len(mine), ""
-    a = next((x for x in mine if x not in set(theirs)), None)
-    b = next((x for x in theirs if x not in set(mine)), None)
+    left, right = Counter(mine), Counter(theirs)
+    a, b = next(iter(left - right), None), next(iter(right - left), None)
     return False, len(mine), f"{len(mine)}/{len(theirs)} rows, first\n    {a}\n    {b}"
 
 

@@ -400,7 +400,7 @@ SELECT drive_id, row_seq, path, v AS effective_decision, d AS decision_distance,
     "effective_review_and_decision": query("""
 SELECT d.drive_id, d.row_seq, d.path, r.v AS effective_review, d.v AS effective_decision,
   r.d AS review_distance, d.d AS decision_distance
-FROM eff_decision d JOIN eff_review r ON d.drive_id = r.drive_id AND d.path = r.path""", *BOTH),
+FROM eff_decision d JOIN eff_review r ON d.drive_id = r.drive_id AND d.path = r.path AND d.row_seq = r.row_seq""", *BOTH),
     "resolve_path": query(f"""
 , asked AS (SELECT i AS step, array_to_string(list_slice(p, 1, 6 - i), {B}) AS anc
     FROM (SELECT ['D:', 'Users', 'DE', 'src9', 'b1', 'new file.txt'] AS p), unnest(range(0, 5)) u(i)),
@@ -460,7 +460,9 @@ LEFT JOIN rated z ON r.drive_id = z.drive_id AND r.batch_id = z.batch_id AND z.i
     json_extract_string(r.e, '$.recommendation') AS recommendation,
     CAST(json_extract_string(r.e, '$.confidence') AS DOUBLE) AS confidence,
     json_extract_string(r.e, '$.comment') AS comment
-  FROM rated r JOIN flags f ON r.drive_id = f.drive_id AND r.batch_id = f.batch_id WHERE f.ok)
+  FROM rated r JOIN flags f ON r.drive_id = f.drive_id AND r.batch_id = f.batch_id WHERE f.ok
+  QUALIFY row_number() OVER (PARTITION BY r.drive_id, r.batch_id,
+    json_extract_string(r.e, '$.path') ORDER BY r.i DESC) = 1)
 SELECT t.drive_id, t.path,
   CASE WHEN g.path IS NOT NULL THEN g.recommendation ELSE 'REVIEW' END AS recommendation,
   CASE WHEN g.path IS NOT NULL THEN g.confidence ELSE CAST(0.5 AS DOUBLE) END AS confidence,
@@ -472,7 +474,7 @@ FROM todo t LEFT JOIN flags f ON t.drive_id = f.drive_id AND t.batch_id = f.batc
 LEFT JOIN good g ON t.drive_id = g.drive_id AND t.batch_id = g.batch_id AND t.path = g.path""", *REPLIED),
     "summarize_eligible": query("""
 SELECT d.drive_id, d.path, r.v AS effective_review, d.v AS effective_decision
-FROM eff_decision d JOIN eff_review r ON d.drive_id = r.drive_id AND d.path = r.path
+FROM eff_decision d JOIN eff_review r ON d.drive_id = r.drive_id AND d.path = r.path AND d.row_seq = r.row_seq
 WHERE lower(trim(r.v)) IN ('true', '1', 'yes') AND coalesce(upper(trim(d.v)), '') <> 'DELETE'
   AND NOT d.is_dir AND coalesce(d.extension, '') <> '.md'""", *BOTH),
     "content_route": query("""
@@ -554,7 +556,7 @@ FROM marked WHERE duplicate_kind = 'baseline_scan' GROUP BY drive_id""", *DUPES)
     "review_shortlist": query("""
 SELECT k.drive_id, k.path, CASE WHEN k.is_dir THEN CAST(0 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS sort_dir,
   r.recommendation
-FROM kinds k JOIN rule_rows r ON k.drive_id = r.drive_id AND k.path = r.path
+FROM kinds k JOIN rule_rows r ON k.drive_id = r.drive_id AND k.path = r.path AND k.row_seq = r.row_seq
 WHERE k.is_duplicate = 0""", *DUPES, RULES),
     "blank_values": query("""
 SELECT drive_id, count(*) FILTER (WHERE coalesce(decision, '') IN ('', 'None')) AS blank_decisions,
@@ -565,7 +567,7 @@ SELECT drive_id, count(*) FILTER (WHERE coalesce(decision, '') IN ('', 'None'))
 FROM raw_inv GROUP BY drive_id""", *BASE, """
 raw_inv AS (
   SELECT i.drive_id, i.path, CASE WHEN i.is_dir THEN i.decision ELSE f.decision END AS decision
-  FROM inv i LEFT JOIN files f ON i.drive_id = f.drive_id AND i.path = f.path)"""),
+  FROM inv i LEFT JOIN files f ON i.drive_id = f.drive_id AND i.path = f.path AND i.row_seq = f.row_seq)"""),
     "unfenced_replies": query("""
 SELECT row_seq, md5(trim(text, concat(' ', chr(9), chr(10), chr(13)))) AS body_md5
 FROM files WHERE drive_id <> 'F:'""", FILES),
