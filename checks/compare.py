@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
-TYPES = {"BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double"}
+TYPES = {"BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean", "INTEGER": "int"}
 
 
 def _value(v: object) -> str:
