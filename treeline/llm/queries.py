@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeline.llm import brown_lm
 from treeline.llm.exact_dedup import exact_groups
 from treeline.llm.substring_dedup import remove_repeats
 
@@ -13,6 +14,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(_documents(spark, sf_dir)).drop("perplexity")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir))
 
@@ -23,4 +28,4 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = [op5_exact_dedup, op7_substring_dedup]
+QUERIES = [op2_brown_lm, op5_exact_dedup, op7_substring_dedup]
