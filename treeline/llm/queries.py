@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import brown_lm
+from treeline.llm import brown_lm, quality_classifier
 from treeline.llm.exact_dedup import exact_groups
+from treeline.llm.store import remainder
 from treeline.llm.substring_dedup import remove_repeats
 
 
@@ -14,6 +15,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_classifier.fit(
+        *quality_classifier.sample(docs, labels, remainder("doc_id", 3) != 1))
+    held_out = (remainder("doc_id", 3) == 1).alias("held_out")
+    return quality_classifier.score(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
 def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score(_documents(spark, sf_dir)).drop("perplexity")
 
@@ -28,4 +38,4 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = [op2_brown_lm, op5_exact_dedup, op7_substring_dedup]
+QUERIES = [op1_quality_classifier, op2_brown_lm, op5_exact_dedup, op7_substring_dedup]

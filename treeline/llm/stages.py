@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeline.llm import quality_classifier
+from treeline.llm.exact_dedup import exact_groups
+from treeline.llm.store import remainder
 from treeline.llm.substring_dedup import remove_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents that the classifier predicts to be good. It learns as op1 does, from docs."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_classifier.fit(
+        *quality_classifier.sample(docs, labels, remainder("doc_id", 3) != 1))
+    return quality_classifier.keep_good(docs, model)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """One row, that with the smallest id, of each group of equal texts."""
+    groups = exact_groups(docs)
+    gone = groups.where(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +31,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Texts without the passages of 50 words or more that a smaller id has too.
+
+    A text that loses nothing stays as it is; any other becomes its kept words joined by
+    one space, and n_chars its new length. No row goes.
+    """
+    out = remove_repeats(docs, keep=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return out.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

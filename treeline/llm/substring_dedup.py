@@ -27,6 +27,8 @@ WIDTH = 50
 #: Bytes of text of a batch, about.
 BATCH_BYTES = 16 << 20
 
+#: Prefix of columns that are only carried along, so their names clash with nothing.
+_OWN = "own "
 _SPANS = "array<struct<first: bigint, past: bigint>>"
 
 
@@ -119,42 +121,43 @@ def _removed(texts: pa.Array, seen: np.ndarray, width: int):
     return (data, starts, ends, counts), np.cumsum(steps[:-1]) > 0
 
 
-def _apply(width: int):
+def _apply(width: int, keep: list[str]):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by("doc_id").combine_chunks()
         seen = np.unique(np.concatenate(
             [np.frombuffer(x, dtype=np.uint64) for x in right.column("hashes").to_pylist()]
             or [np.zeros(0, np.uint64)]))
         n_words, n_removed, spans, kept = [], [], [], []
-        for part in (pa.RecordBatch.from_pydict({c: left.column(c).combine_chunks() for c in left.column_names}),):
-            texts = part.column("text")
-            (data, starts, ends, counts), covered = _removed(texts, seen, width)
-            for i in range(len(texts)):
-                a, b = int(counts[i]), int(counts[i + 1])
-                flags = covered[a:b]
-                gone = int(flags.sum())
-                n_words.append(b - a)
-                n_removed.append(gone)
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
-                spans.append([{"first": int(x), "past": int(y)} for x, y in zip(edges[::2], edges[1::2])])
-                bounds = [0, *edges.tolist(), b - a]
-                text = data[starts[a]: ends[b - 1]].tobytes() if b > a else b""
-                base = int(starts[a]) if b > a else 0
-                runs = [text[int(starts[a + x]) - base: int(ends[a + y - 1]) - base]
-                        for x, y in zip(bounds[::2], bounds[1::2]) if y > x]
-                kept.append(b" ".join(b" ".join(r.split()) for r in runs))
+        (data, starts, ends, counts), covered = _removed(left.column("text"), seen, width)
+        for i in range(left.num_rows):
+            a, b = int(counts[i]), int(counts[i + 1])
+            flags = covered[a:b]
+            n_words.append(b - a)
+            n_removed.append(int(flags.sum()))
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
+            spans.append([{"first": int(x), "past": int(y)} for x, y in zip(edges[::2], edges[1::2])])
+            bounds = [0, *edges.tolist(), b - a]
+            text = data[starts[a]: ends[b - 1]].tobytes() if b > a else b""
+            base = int(starts[a]) if b > a else 0
+            runs = [text[int(starts[a + x]) - base: int(ends[a + y - 1]) - base]
+                    for x, y in zip(bounds[::2], bounds[1::2]) if y > x]
+            kept.append(b" ".join(b" ".join(r.split()) for r in runs))
         return pa.table({
             "doc_id": left.column("doc_id"), "n_words": pa.array(n_words, pa.int64()),
             "n_removed": pa.array(n_removed, pa.int64()),
             "spans": pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))),
-            "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
+            "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
+            **{c: left.column("text" if c == "text" else _OWN + c) for c in keep}})
     return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   width: int = WIDTH, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+                   width: int = WIDTH, batch_bytes: int = BATCH_BYTES,
+                   keep: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, spans, kept_text.
 
+    With `keep`, also `text` as it came and the columns named.
+
     A word goes if a window of `width` words covers it whose words, unchanged, also start
     in a document with a smaller id. spans are the removed word positions [first, past),
     kept_text the other words joined by one space. A document that repeats a passage only
@@ -163,11 +166,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     numbers; rows that share an id are one document's rivals, none precedes the other.
     Other columns of the input are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = [] if keep is None else ["text", *keep]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                       *(F.col(text_col if c == "text" else c).alias(_OWN + c) for c in own if c != "text"))
     rows, n = with_batch(rows, "doc_id", "text", batch_bytes)
     asked = rows.select("batch", "text").mapInArrow(
         _requests(width, n), "bucket int, batch int, hashes binary")
     told = asked.groupBy("bucket").applyInArrow(_answer, "batch int, hashes binary")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    more = "".join(f", `{c}` {kinds[text_col if c == 'text' else c]}" for c in own)
     return rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(
-        _apply(width),
-        f"doc_id bigint, n_words bigint, n_removed bigint, spans {_SPANS}, kept_text string")
+        _apply(width, own),
+        f"doc_id bigint, n_words bigint, n_removed bigint, spans {_SPANS}, kept_text string{more}")
