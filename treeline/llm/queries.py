@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from treeline.llm import brown_lm, quality_classifier
 from treeline.llm.exact_dedup import exact_groups
+from treeline.llm.packing import pack
 from treeline.llm.store import remainder
 from treeline.llm.substring_dedup import remove_repeats
 
@@ -38,4 +39,9 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = [op1_quality_classifier, op2_brown_lm, op5_exact_dedup, op7_substring_dedup]
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir))
+
+
+QUERIES = [op1_quality_classifier, op2_brown_lm, op5_exact_dedup, op7_substring_dedup,
+           op9_best_fit_packing]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from treeline.llm import quality_classifier
 from treeline.llm.exact_dedup import exact_groups
+from treeline.llm.packing import pack
 from treeline.llm.store import remainder
 from treeline.llm.substring_dedup import remove_repeats
 
@@ -42,4 +43,5 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The pieces of all documents and their places in sequences of 4096 tokens."""
+    return pack(docs)
