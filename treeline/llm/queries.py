@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from treeline.llm import brown_lm, quality_classifier
 from treeline.llm.exact_dedup import exact_groups
+from treeline.llm.near_dedup import near_groups
 from treeline.llm.packing import pack
 from treeline.llm.store import remainder
 from treeline.llm.substring_dedup import remove_repeats
@@ -29,6 +30,10 @@ def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score(_documents(spark, sf_dir)).drop("perplexity")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_documents(spark, sf_dir), width=2)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir))
 
@@ -43,5 +48,5 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
 
-QUERIES = [op1_quality_classifier, op2_brown_lm, op5_exact_dedup, op7_substring_dedup,
+QUERIES = [op1_quality_classifier, op2_brown_lm, op3_near_dedup, op5_exact_dedup, op7_substring_dedup,
            op9_best_fit_packing]

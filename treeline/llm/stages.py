@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from treeline.llm import quality_classifier
 from treeline.llm.exact_dedup import exact_groups
+from treeline.llm.near_dedup import near_groups
 from treeline.llm.packing import pack
 from treeline.llm.store import remainder
 from treeline.llm.substring_dedup import remove_repeats
@@ -28,7 +29,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The document with the smallest id of each component of near duplicates.
+
+    Shingles have five words, and the similarity is 0.8 or more.
+    """
+    gone = near_groups(docs).where(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
