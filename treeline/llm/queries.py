@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm import brown_lm, quality_classifier
+from treeline.llm.bpe_reuse import encode_decode
 from treeline.llm.exact_dedup import exact_groups
 from treeline.llm.near_dedup import near_groups
 from treeline.llm.packing import pack
@@ -48,5 +49,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
 
+def op10_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_decode(_documents(spark, sf_dir))
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = [op1_quality_classifier, op2_brown_lm, op3_near_dedup, op5_exact_dedup, op7_substring_dedup,
-           op9_best_fit_packing]
+           op9_best_fit_packing, op10_bpe_reuse]
