@@ -8,6 +8,30 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t-\r]+', ' ', '
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM n WINDOW g AS (PARTITION BY t)
+""",
+    "op6_quality_rules": rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS ws,
+                  list_filter(string_split(coalesce(text, ''), chr(10)),
+                              lambda x: regexp_matches(x, '[^ \t-\r]')) AS ls FROM documents),
+spot AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS p FROM w WHERE len(ws) >= 8),
+win AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[p:p + 7], ' ')) AS n
+        FROM spot),
+rep AS (SELECT doc_id, count(DISTINCT q) AS n
+        FROM (SELECT doc_id, unnest(range(p, p + 8)) AS q FROM win WHERE n > 1) GROUP BY doc_id),
+c AS (SELECT w.doc_id, t, ws, len(ws)::BIGINT AS n_words, len(ls) AS n_lines,
+             length(regexp_replace(t, '[ \t-\r]+', '', 'g')) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+             coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words
+            OR word_chars > 20 * n_words OR 100 * n_dup_lines > 60 * n_lines
+            OR 2 * length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g'))
+               > length(regexp_replace(t, '[^\p{{L}}]+', '', 'g'))
+            OR 10 * len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}'))) < 6 * n_words) AS kept
+FROM b
 """,
     "op7_substring_dedup": rf"""
 WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),

@@ -10,6 +10,7 @@ from treeline.llm.bpe_reuse import encode_decode
 from treeline.llm.exact_dedup import exact_groups
 from treeline.llm.near_dedup import near_groups
 from treeline.llm.packing import pack
+from treeline.llm.quality_rules import cascade
 from treeline.llm.store import remainder
 from treeline.llm.substring_dedup import remove_repeats
 
@@ -39,6 +40,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade(_documents(spark, sf_dir)).drop("rejected_by")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed",
@@ -58,5 +63,5 @@ def op10_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = [op1_quality_classifier, op2_brown_lm, op3_near_dedup, op5_exact_dedup, op7_substring_dedup,
-           op9_best_fit_packing, op10_bpe_reuse]
+QUERIES = [op1_quality_classifier, op2_brown_lm, op3_near_dedup, op5_exact_dedup, op6_quality_rules,
+           op7_substring_dedup, op9_best_fit_packing, op10_bpe_reuse]
