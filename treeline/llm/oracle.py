@@ -1,8 +1,45 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from treeline.llm.licenses import COPYRIGHT_LINES, KNOWN, SIGNS, SPELLINGS
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')"
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_lines(text: str) -> str:
+    out = f"lower({text})"
+    for pattern in (*COPYRIGHT_LINES,):
+        out = f"regexp_replace({out}, {_quoted(pattern)}, '', 'g')"
+    out = f"regexp_replace({out}, {_quoted(SIGNS)}, ' ', 'g')"
+    for old, new in SPELLINGS:
+        out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
+    return out
+
+
+def _whole(lines: str) -> str:
+    return f"trim(regexp_replace({lines}, '[ \\n]+', ' ', 'g'), ' ')"
+
+
+_KNOWN = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in KNOWN)
+
 ORACLE = {
+    "op8_license_scan": f"""
+WITH known AS (SELECT sha256({_whole(_canonical_lines('t'))}) AS digest, max(name) AS license
+               FROM (VALUES {_KNOWN}) v(name, t) GROUP BY 1),
+c AS (SELECT doc_id, {_canonical_lines("coalesce(text, '')")} AS t FROM documents),
+line AS (SELECT doc_id, trim(unnest(string_split(t, chr(10))), ' ') AS x FROM c),
+found AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices,
+                 count(*) AS n_notices
+          FROM line JOIN known ON digest = sha256(x) WHERE x <> '' GROUP BY doc_id)
+SELECT c.doc_id, sha256({_whole('t')}) AS text_digest,
+       CASE WHEN {_whole('t')} <> '' THEN license END AS license,
+       coalesce(notices, '') AS notices, coalesce(n_notices, 0)::BIGINT AS n_notices
+FROM c LEFT JOIN known ON digest = sha256({_whole('t')}) LEFT JOIN found ON found.doc_id = c.doc_id
+""",
     "op5_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t-\r]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import brown_lm, quality_classifier
+from treeline.llm import brown_lm, licenses, quality_classifier, warc
 from treeline.llm.bpe_reuse import encode_decode
 from treeline.llm.exact_dedup import exact_groups
 from treeline.llm.near_dedup import near_groups
@@ -36,6 +36,13 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_documents(spark, sf_dir), width=2)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    manifest = warc.archive(pages, "page_id", "html", "url", warc.session_date(spark))
+    return warc.read(manifest).select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir))
 
@@ -50,6 +57,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
@@ -63,5 +74,5 @@ def op10_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = [op1_quality_classifier, op2_brown_lm, op3_near_dedup, op5_exact_dedup, op6_quality_rules,
-           op7_substring_dedup, op9_best_fit_packing, op10_bpe_reuse]
+QUERIES = [op1_quality_classifier, op2_brown_lm, op3_near_dedup, op4_warc, op5_exact_dedup, op6_quality_rules,
+           op7_substring_dedup, op8_license_scan, op9_best_fit_packing, op10_bpe_reuse]
