@@ -116,13 +116,13 @@ def chunk_table(of: DataFrame) -> DataFrame:
 def identified(of: DataFrame, table: DataFrame) -> DataFrame:
     """Adds `ids`: the list of verified identifiers."""
     doubtful = table.where(~F.col("verified")).select("chunk")
-    uses = of.select("doc_id", F.explode("chunks").alias("chunk"))
-    mended = uses.join(doubtful, "chunk").groupBy("doc_id").agg(F.collect_set("chunk").alias("_doubtful"))
+    uses = of.select("text_sha256", F.explode("chunks").alias("chunk")).distinct()
+    mended = uses.join(doubtful, "chunk").groupBy("text_sha256").agg(F.collect_set("chunk").alias("_doubtful"))
     told_apart = F.transform(
         F.arrays_zip("chunks", "digests"),
         lambda c: F.when(F.array_contains("_doubtful", c["chunks"]), F.xxhash64(c["digests"]))
         .otherwise(c["chunks"]))
-    return of.join(mended, "doc_id", "left").withColumn(
+    return of.join(mended, "text_sha256", "left").withColumn(
         "ids", F.when(F.col("_doubtful").isNull(), F.col("chunks")).otherwise(told_apart)
     ).drop("_doubtful")
 
@@ -134,7 +134,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when identical after each run of white space became one space; a run
     at either end stays one space. A null text is an empty one, and all empty texts are
     one group. keep_id is the smallest id of the group; of repeated rows with that id all
-    are kept. A text of any length is one list of identifiers. An empty table gives an
+    are kept. A row without an id goes if its group has an id, and stays if it has none. A text of any length is one list of identifiers. An empty table gives an
     empty result; other columns are not read.
     """
     of = stored(recipes(docs, id_col, text_col, chunk_bytes), "recipes")
@@ -148,4 +148,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep = F.coalesce("keep_id", "doc_id")
     return found.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (keep == F.col("doc_id")).alias("kept"), "text_sha256")
+        (keep.isNull() | F.col("doc_id").eqNullSafe(keep)).alias("kept"), "text_sha256")

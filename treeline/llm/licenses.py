@@ -104,6 +104,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     texts = lines.select("doc_id", F.sha2(whole.cast("binary"), 256).alias("digest"), (whole == "").alias("empty"))
     named = texts.join(F.broadcast(known), "digest", "left").select(
         "doc_id", F.col("digest").alias("text_digest"), F.when(~F.col("empty"), F.col("license")).alias("license"))
-    return named.join(found, "doc_id", "left").select(
+    found = found.withColumnRenamed("doc_id", "_id")
+    return named.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
         "doc_id", "text_digest", "license", F.coalesce("notices", F.lit("")).alias("notices"),
         F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))

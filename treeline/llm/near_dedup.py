@@ -168,7 +168,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     100 * |intersection| >= percent * |union|. component_id is the smallest id reachable.
     Null texts and texts without words have an empty set and are linked with nothing. Of
     rows that share an id all get the same component when their texts are equal; with
-    different texts they stand for one another. An empty table gives an empty result;
+    different texts they stand for one another. A row without an id is kept and links nothing;
+    it has the component of the rows with the same set, else null. An empty table gives an empty result;
     other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -176,7 +177,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         _sketch(width, tables, depth),
         "doc_id bigint, n_shingles bigint, digest binary, elements array<bigint>"), "sketches")
     total, n_parts = sketches.count(), parts(docs)
-    groups = stored(sketches.where("digest is not null").groupBy("digest").agg(
+    groups = stored(sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(
         F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("elements").alias("elements")), "groups")
     comps = _components(rows, groups, width, percent, tables, block, n_parts)
     known = groups.select("digest", "node", "n").join(comps, "node", "left").select(
@@ -185,7 +186,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = lookup(sketches.drop("elements"), known, ["digest"], "n", total, n_parts)
     component = F.coalesce("comp", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      (component == F.col("doc_id")).alias("kept"))
+                      F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def _keys(groups: DataFrame, tables: int, n_parts: int) -> DataFrame:

@@ -33,7 +33,10 @@ _SPANS = "array<struct<first: bigint, past: bigint>>"
 
 
 def with_batch(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int) -> tuple[DataFrame, int]:
-    """Adds `batch`: ascending ranges of the id with about `batch_bytes` of text each."""
+    """Adds `batch`: ascending ranges of the id with about `batch_bytes` of text each.
+
+    Rows without an id are in the last batch.
+    """
     total = docs.agg(F.sum(F.octet_length(text_col)).alias("b"),
                      F.min(id_col).alias("low"), F.max(id_col).alias("high")).first()
     n = pieces(total["b"] or 0, batch_bytes)
@@ -43,9 +46,10 @@ def with_batch(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int) ->
     cuts = docs.select(F.percentile_approx(id_col, steps, max(10_000, 20 * n)).alias("c")).first()["c"]
     inner = sorted({float(c) for c in cuts})
     splits = [-float("inf"), *inner, float("inf")]
-    numbered = Bucketizer(splits=splits, inputCol="_id", outputCol="_batch").transform(
+    numbered = Bucketizer(splits=splits, inputCol="_id", outputCol="_batch", handleInvalid="keep").transform(
         docs.withColumn("_id", F.col(id_col).cast("double")))
-    return numbered.withColumn("batch", F.col("_batch").cast("int")).drop("_id", "_batch"), len(inner) + 1
+    batch = F.coalesce(F.col("_batch"), F.lit(len(inner))).cast("int")
+    return numbered.withColumn("batch", batch).drop("_id", "_batch"), len(inner) + 1
 
 
 def _windows(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, tuple]:
@@ -101,8 +105,8 @@ def _answer(table: pa.Table) -> pa.Table:
     })
 
 
-def _removed(texts: pa.Array, seen: np.ndarray, width: int):
-    """(words, covered) : a flag for every word of texts in ascending order of their ids."""
+def _removed(texts: pa.Array, rank: np.ndarray, seen: np.ndarray, width: int):
+    """(words, covered): a flag for every word. Texts ascend by rank; equal ids have equal ranks."""
     hashes, doc, (data, starts, ends, counts, at) = _windows(texts, width)
     late = np.zeros(len(hashes), dtype=bool)
     if len(hashes):
@@ -110,8 +114,8 @@ def _removed(texts: pa.Array, seen: np.ndarray, width: int):
         sorted_hashes = hashes[order]
         head = np.ones(len(order), dtype=bool)
         head[1:] = sorted_hashes[1:] != sorted_hashes[:-1]
-        first_doc = doc[order][head][np.cumsum(head) - 1]
-        late[order] = doc[order] > first_doc
+        first_rank = rank[doc[order]][head][np.cumsum(head) - 1]
+        late[order] = rank[doc[order]] > first_rank
         if len(seen):
             place = np.minimum(np.searchsorted(seen, sorted_hashes), len(seen) - 1)
             late[order[seen[place] == sorted_hashes]] = True
@@ -128,7 +132,9 @@ def _apply(width: int, keep: list[str]):
             [np.frombuffer(x, dtype=np.uint64) for x in right.column("hashes").to_pylist()]
             or [np.zeros(0, np.uint64)]))
         n_words, n_removed, spans, kept = [], [], [], []
-        (data, starts, ends, counts), covered = _removed(left.column("text"), seen, width)
+        ids = left.column("doc_id").to_pylist()
+        rank = np.cumsum([0, *(a != b for a, b in zip(ids, ids[1:]))][: len(ids)])
+        (data, starts, ends, counts), covered = _removed(left.column("text"), rank, seen, width)
         for i in range(left.num_rows):
             a, b = int(counts[i]), int(counts[i + 1])
             flags = covered[a:b]
@@ -163,7 +169,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept_text the other words joined by one space. A document that repeats a passage only
     within itself keeps it. Null and empty texts have no words; texts shorter than
     `width` words lose nothing; an empty table gives an empty result. Ids are distinct
-    numbers; rows that share an id are one document's rivals, none precedes the other.
+    numbers; of rows that share an id none precedes the other, and a row without an id comes
+    behind all others of its batch.
     Other columns of the input are not read.
     """
     own = [] if keep is None else ["text", *keep]

@@ -293,8 +293,10 @@ def archive(records: DataFrame, id_col: str, payload_col: str, uri_col: str, dat
     """Write one record per row; returns the manifest.
 
     A null payload is empty, a null uri is left out, and other columns are not read. Ids
-    are distinct numbers; repeated rows give repeated records. An empty table writes no file.
+    are distinct numbers; repeated rows give repeated records, and rows without an id cannot
+    be named in an archive and are left out. An empty table writes no file.
     """
+    records = records.where(F.col(id_col).isNotNull())
     role = roles(digests(chunked(records, id_col, payload_col, chunk_bytes)), least_bytes).dropDuplicates(["record_id"])
     rows = records.select(F.col(id_col).cast("long").alias("record_id"), F.col(uri_col).alias("uri"),
                           F.col(payload_col).alias("_body"))
