@@ -13,7 +13,7 @@ pairs of a group:
 1. Each node meets one hub: of the nodes that share a key with it and have the most keys,
    the one with which it shares most. Confirmed links give components.
 2. In every key whose nodes are still in several components, each node outside of the
-   most frequent one is sent to the blocks of at most `block` nodes that hold the key's
+   most frequent one is sent to the blocks of about `block` nodes that hold the key's
    nodes. A block counts all intersections at once and returns at most one link for each
    node and component. So every pair that shares a key and lies in two components is compared.
 """
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.graph import components
@@ -230,12 +230,16 @@ def _components(rows: DataFrame, groups: DataFrame, width: int, percent: int, ta
     comps = components(first, "a", "b").select(F.col("hi").alias("node"), F.col("lo").alias("comp"))
 
     # Step 2: what is still apart within a key, against blocks of the key's nodes.
-    number = F.row_number().over(Window.partitionBy("home", "part").orderBy("node")) - 1
-    placed = stored(
-        degrees.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        .withColumn("part", F.pmod(F.xxhash64("node"), F.lit(1 << 20)).cast("int") % F.lit(max(1, n_parts)))
-        .withColumn("block", F.xxhash64("home", "part", F.floor(number / block)))
-        .select("node", "comp", "block"), "placed")
+    # Blocks hold nodes of one component, and nodes that are alone by their largest key.
+    linked = comps.union(comps.select("comp", "comp").distinct())
+    at_home = stored(degrees.join(linked, "node", "left").select(
+        "node", F.coalesce("comp", "node").alias("comp"),
+        F.when(F.col("comp").isNotNull(), F.xxhash64(F.lit(0), "comp"))
+        .otherwise(F.xxhash64(F.lit(1), "home")).alias("home")), "homes")
+    large = at_home.groupBy("home").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("n", F.lit(1)) / block))
+    placed = stored(lookup(at_home, large, ["home"], "n", at_home.count(), n_parts).select(
+        "node", "comp", F.xxhash64("home", part).alias("block")), "placed")
     apart = keys.drop("n").join(placed, "node")
     per_comp = apart.groupBy("key", "comp").agg(F.count("*").alias("m"))
     mixed = per_comp.groupBy("key").agg(
