@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from treeline.operators import duplicates, recovery, triage
 from treeline.plans import sample_inventory as sample
-from treeline.sources.workspace import stored
 
 EARLIER = "2021-01-01T00:00:00"
 COPIED_AT = "2024-05-01T12:00:00"
@@ -19,11 +18,22 @@ def earlier_paths(inv: DataFrame) -> DataFrame:
     return inv.where(F.col("modified") < F.lit(EARLIER).cast("timestamp_ntz")).select("path").distinct()
 
 
+def lookups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Hashes of the baseline C: and of the registry of E:."""
+    inv = sample.conformed(spark, sf_dir)
+    return (duplicates.baseline_hashes(inv.where(F.col("drive_id") == sample.BASELINE_DRIVE)),
+            duplicates.registry_hashes(sample.kept_registry(spark, sf_dir), "row_seq"))
+
+
+def twice(inv: DataFrame) -> DataFrame:
+    """Every row two times under one path, as even and odd row numbers."""
+    return inv.withColumn("row_seq", F.explode(F.array(2 * F.col("row_seq"), 2 * F.col("row_seq") + 1)))
+
+
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole inventory with duplicates found against C: and the registry of E:."""
     inv = sample.conformed(spark, sf_dir)
-    baseline = duplicates.baseline_hashes(inv.where(F.col("drive_id") == sample.BASELINE_DRIVE))
-    registry = duplicates.registry_hashes(sample.kept_registry(spark, sf_dir), "row_seq")
+    baseline, registry = lookups(spark, sf_dir)
     return duplicates.classify(inv, baseline, registry, baseline_drive=sample.BASELINE_DRIVE)
 
 
@@ -60,7 +70,7 @@ def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reviewed_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copy plan as a table, the form in which a copy job takes it."""
-    return stored(plan(spark, sf_dir), "copy_plan")
+    return sample.kept(plan(spark, sf_dir))
 
 
 def copied_files(planned: DataFrame) -> DataFrame:
@@ -76,7 +86,7 @@ def copied_files(planned: DataFrame) -> DataFrame:
 def triage_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbered rows as a table: the rows of a batch must not change once sent."""
     marked = duplicates.mark_duplicates(classified(spark, sf_dir))
-    return stored(triage.triage_rows(marked), "triage_rows")
+    return sample.kept(triage.triage_rows(marked))
 
 
 def replies(rows: DataFrame) -> DataFrame:

@@ -568,6 +568,18 @@ FROM raw_inv GROUP BY drive_id""", *BASE, """
 raw_inv AS (
   SELECT i.drive_id, i.path, CASE WHEN i.is_dir THEN i.decision ELSE f.decision END AS decision
   FROM inv i LEFT JOIN files f ON i.drive_id = f.drive_id AND i.path = f.path AND i.row_seq = f.row_seq)"""),
+    "incremental_inventory": query("""
+SELECT drive_id, path, CAST(is_duplicate AS BIGINT) AS is_duplicate, duplicate_kind,
+  duplicate_source_path, comment FROM kinds""", *DUPES),
+    "rate_fold": query("""
+SELECT m.drive_id, m.path, CAST(2 * count(*) AS BIGINT) AS n_rows,
+  min(coalesce(m.recommendation, r.recommendation)) AS recommendation, CAST(0 AS BIGINT) AS still_open
+FROM marked m JOIN rule_rows r ON m.drive_id = r.drive_id AND m.path = r.path
+GROUP BY m.drive_id, m.path""", *DUPES, RULES),
+    "summary_fold": query("""
+SELECT drive_id, path, CAST(2 * count(*) AS BIGINT) AS n_rows,
+  CASE WHEN bool_or(NOT is_dir) THEN max(md5_hash) ELSE '' END AS least, 'kept' AS most
+FROM inv GROUP BY drive_id, path""", *BASE),
     "unfenced_replies": query("""
 SELECT row_seq, md5(trim(text, concat(' ', chr(9), chr(10), chr(13)))) AS body_md5
 FROM files WHERE drive_id <> 'F:'""", FILES),

@@ -11,7 +11,7 @@ from treeline.operators import (
     content, deletion, duplicates, hierarchy, inventory, organize, recovery, reports, triage,
 )
 from treeline.plans import sample_inventory as sample
-from treeline.sources.workspace import new_folder, stored
+from treeline.sources.workspace import new_folder
 from treeline.streaming import arrivals
 
 
@@ -141,8 +141,8 @@ def _delete_input(spark: SparkSession, d: str) -> DataFrame:
 
 def _plan_tables(inv: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The manifest and the subtree plan as tables, as people would review them."""
-    manifest = stored(deletion.delete_manifest(inv), "manifest")
-    return manifest, stored(deletion.subtree_candidates(inv, manifest), "subtrees")
+    manifest = sample.kept(deletion.delete_manifest(inv))
+    return manifest, sample.kept(deletion.subtree_candidates(inv, manifest))
 
 
 def subtree_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -361,12 +361,38 @@ def unfenced_replies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def incremental_inventory(spark: SparkSession, d: str) -> DataFrame:
-    """The files of all drives arriving as a stream of inventory drops."""
-    folder = new_folder(spark, "arrivals")
-    drops = f"{folder}/drops"
-    sample.conformed(spark, d).write.parquet(drops)
-    stored = arrivals.run_available(spark, drops, f"{folder}/state")
-    return stored.select("drive_id", "path", "md5_hash", "duplicate_kind", "duplicate_source_path")
+    """The whole inventory arriving as a stream of three drops, by ranges of row_seq."""
+    folder, inv = new_folder(spark, "arrivals"), sample.conformed(spark, d)
+    known, kept = fx.lookups(spark, d)
+    last = inv.agg(F.max("row_seq")).first()[0] or 0
+    drop = F.floor(3 * F.col("row_seq") / (last + 1))
+    for k in range(3):
+        inv.where(drop == k).write.mode("append").parquet(f"{folder}/drops")
+        out = arrivals.run_available(
+            spark, f"{folder}/drops", f"{folder}/state", baseline=known, registry=kept,
+            baseline_drive=sample.BASELINE_DRIVE)
+    return out.select(
+        "drive_id", "path", _flag("is_duplicate"), "duplicate_kind", "duplicate_source_path",
+        "comment")
+
+
+def rate_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Rows to rate and all others put together again, with each path twice: none goes or grows."""
+    marked = duplicates.mark_duplicates(fx.twice(fx.classified(spark, d)))
+    rated = triage.rule_ratings(triage.needs_triage(marked))
+    return triage.needs_no_triage(marked).unionByName(rated).groupBy("drive_id", "path").agg(
+        F.count("*").alias("n_rows"), F.min("recommendation").alias("recommendation"),
+        F.count_if(triage.needs_triage_column()).alias("still_open"))
+
+
+def summary_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries folded into an inventory with each path twice; a summary that is there stays."""
+    inv = fx.twice(sample.conformed(spark, d)).withColumn(
+        "summary", F.when(F.col("row_seq") % 2 == 1, "kept").otherwise(""))
+    work = inv.where(~F.col("is_dir")).select("drive_id", "path", F.col("md5_hash").alias("summary"))
+    done = content.fold_outcomes(inv, work, "summary", ["drive_id", "path"], only_blank=True)
+    return done.groupBy("drive_id", "path").agg(
+        F.count("*").alias("n_rows"), F.min("summary").alias("least"), F.max("summary").alias("most"))
 
 
 QUERIES = [
@@ -380,4 +406,5 @@ QUERIES = [
     organize_eligible, organize_payloads, apply_assignments, rule_targets, copy_plan,
     copy_verify, copy_counts, kept_registry_rows, status_fold, duplicates_report,
     report_totals, review_shortlist, blank_values, unfenced_replies, incremental_inventory,
+    rate_fold, summary_fold,
 ]

@@ -7,7 +7,6 @@ from treeline.functions.values import blank, unset
 from treeline.operators import deletion, hierarchy
 from treeline.operators.skew import lookup_join
 from treeline.schema import conform
-from treeline.sources.workspace import stored
 
 TREE = [
     (r"D:\Users\Stephen\Documents", True, None, "KEEP"),
@@ -112,8 +111,8 @@ def test_random_trees_match_brute_force_also_when_keys_are_hot(spark):
 def test_subtree_plan_matches_brute_force(spark):
     rows = tree_rows(5)
     df = conform(frame(spark, rows))
-    manifest = stored(deletion.delete_manifest(df, hot_rows=3), "test_manifest")
-    trees = stored(deletion.subtree_candidates(df, manifest, hot_rows=3), "test_trees")
+    manifest = deletion.delete_manifest(df, hot_rows=3).persist()
+    trees = deletion.subtree_candidates(df, manifest, hot_rows=3).persist()
     got = {r.path for r in trees.collect()}
 
     values = brute(rows, 3)

@@ -5,9 +5,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from treeline.operators import content, inventory
+from treeline.operators.batches import number_batches
 from treeline.plans import jobs
+from treeline.schema import conform
 from treeline.sources import tables, tree
-from treeline.sources.workspace import new_folder
+from treeline.sources.workspace import Work, clear_work, new_folder
 
 OPTIONS = jobs.Options(exclude_dirs=["AppData", "$RECYCLE.BIN"], exclude_extensions=[".exe", ".DLL"])
 
@@ -245,3 +248,60 @@ def test_workspace_follows_the_session(spark):
 
     assert new_folder(spark, "x") != new_folder(spark, "x")
     assert new_folder(Session, "x").startswith("hdfs://shared/x_")
+
+
+def test_work_is_kept_beside_the_table_and_cleared(spark, tmp_path):
+    table = str(tmp_path / "t")
+    work = Work(spark, table)
+    assert work.stored(spark.range(3), "x").count() == 3
+    assert os.listdir(tmp_path) == ["t_work"]
+    assert clear_work(spark, table) and not clear_work(spark, table)
+
+
+def _rows(spark, rows):
+    return conform(spark.createDataFrame(
+        rows, "drive_id string, row_seq bigint, path string, filename string, recommendation string, summary string"))
+
+
+def test_no_job_step_loses_or_adds_rows_with_equal_paths(spark, tmp_path):
+    table = str(tmp_path / "t")
+    rows = [("D:", 1, "D:\\a", "null", "SKIP", None), ("D:", 2, "D:\\a", "NA", None, None),
+            ("D:", None, "D:\\a", "None", None, None), ("D:", None, "D:\\b", None, None, "kept")]
+    tables.write_table(_rows(spark, rows), table)
+    jobs.rate(spark, table, lambda prompt: "[]")
+    out = tables.read_table(spark, table)
+    assert out.count() == 4 and out.where("recommendation is null").count() == 0
+    assert {r.filename for r in out.collect()} == {"null", "NA", "None", None}
+    edited = jobs.apply_edits(out, spark.createDataFrame(
+        [("D:\\a", None, "KEEP"), ("D:\\a", "yes", None)], "path string, review string, decision string"))
+    assert edited.count() == 4 and edited.where("decision = 'KEEP' and review = 'yes'").count() == 3
+    done = spark.createDataFrame([("D:\\a", "x"), ("D:\\a", "y"), ("D:\\b", "z")], "path string, summary string")
+    folded = content.fold_outcomes(edited, done, "summary", only_blank=True)
+    assert sorted(r.summary for r in folded.collect()) == ["kept", "y", "y", "y"]
+
+
+def test_batches_hold_rows_without_an_order_number(spark):
+    rows = _rows(spark, [("D:", None, f"D:\\f{i}", "f", None, None) for i in range(50)])
+    out = number_batches(rows, 8)
+    assert out.count() == 50 and out.groupBy("batch_id").count().where("count > 8").count() == 0
+    first = inventory.first_row_per_path(rows.unionByName(rows))
+    assert first.count() == 50 and first.where("path is null").count() == 0
+
+
+def test_csv_files_are_numbered_in_one_order(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("path,decision\n" + "".join(f"D:\\{name}{i},\n" for i in range(3)))
+    files = [str(tmp_path / "b.csv"), str(tmp_path / "a.csv")]
+    rows = tables.read_csv(spark, files, ["path"]).orderBy("row_seq").collect()
+    assert [r.path[-2:] for r in rows] == ["b0", "b1", "b2", "a0", "a1", "a2"]
+    assert len({r.row_seq for r in rows}) == 6
+
+
+def test_an_inventory_without_deletes_gets_a_manifest_with_a_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("path,filename,size_bytes,is_dir,decision\nD:\\x,x,3,False,DELETE\n")
+    (tmp_path / "b.csv").write_text("path,filename,size_bytes,is_dir,decision\nE:\\y,y,3,False,KEEP\n")
+    files = [str(tmp_path / f"{n}.csv") for n in "ab"]
+    totals = {r.source_csv[-5:]: r.total_rows for r in jobs.manifest_all(spark, files, str(tmp_path / "out")).collect()}
+    assert totals == {"a.csv": 1, "b.csv": 0}
+    empty = tmp_path / "out" / "manifest=b_delete_manifest.csv"
+    assert [p.read_text().strip() for p in empty.glob("part-*")] == ["path,filename,size_bytes,decision_source"]

@@ -10,6 +10,8 @@ from treeline.fixed_values import DEFAULT_BATCH_SIZE
 
 # Order numbers per block; blocks per group of blocks.
 BLOCK = 10_000
+# Rows without an order number are dealt over so many numbers below zero.
+NO_ORDER = 10 ** 12
 
 
 def _running(counts: DataFrame, scope: list[str], by: str) -> DataFrame:
@@ -27,16 +29,18 @@ def number_batches(
 ) -> DataFrame:
     """Add batch_id = position // size and batch_pos within each scope.
 
-    Positions follow `order`, a whole number, then the `then` expressions. The rank
+    Positions follow `order`, a whole number, then the `then` expressions. Rows without an
+    order number come first, by a hash of `then`, so they spread over blocks too. The rank
     of a row is its rank within a block of order numbers plus the rows of all
     earlier blocks; those are summed in two levels, so that no window partition
     grows with the table.
     """
     keys = list(scope)
     tie = then or [F.col("path")]
-    rows = df.withColumns({
-        "_block": F.floor(F.col(order) / BLOCK),
-        "_group": F.floor(F.col(order) / (BLOCK * BLOCK)),
+    unnumbered = -1 - F.pmod(F.xxhash64(*tie), F.lit(NO_ORDER))
+    rows = df.withColumn("_order", F.coalesce(F.col(order).cast("long"), unnumbered)).withColumns({
+        "_block": F.floor(F.col("_order") / BLOCK),
+        "_group": F.floor(F.col("_order") / (BLOCK * BLOCK)),
     })
     counts = rows.groupBy(*keys, "_group", "_block").agg(F.count("*").alias("n"))
     groups = _running(
@@ -46,7 +50,7 @@ def number_batches(
         groups, [*keys, "_group"]
     ).select(*keys, "_group", "_block", (F.col("_group_start") + F.col("_before")).alias("_start"))
 
-    in_block = Window.partitionBy(*keys, "_group", "_block").orderBy(order, *tie)
+    in_block = Window.partitionBy(*keys, "_group", "_block").orderBy("_order", *tie)
     placed = rows.withColumn("_rank", F.row_number().over(in_block)).join(
         blocks, [*keys, "_group", "_block"])
     position = F.col("_start") + F.col("_rank") - 1

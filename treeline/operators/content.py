@@ -204,11 +204,18 @@ def summarize(
 
 
 def fold_outcomes(
-    df: DataFrame, outcomes: DataFrame, column: str, key: list[str] | None = None
+    df: DataFrame, outcomes: DataFrame, column: str, key: list[str] | None = None,
+    only_blank: bool = False,
 ) -> DataFrame:
-    """Overwrite a status column where an outcome exists; other rows stay."""
+    """Overwrite a status column where an outcome exists; no row is added or lost.
+
+    Of several outcomes for one key the last in text order counts. With `only_blank`,
+    values that are there already stay.
+    """
     keys = key or ["path"]
     df = ensure_columns(df, [column])
-    new = outcomes.select(*keys, F.col(column).alias("_new"))
-    return df.join(new, keys, "left").withColumn(
-        column, F.coalesce(F.col("_new"), F.col(column))).select(*df.columns)
+    new = outcomes.groupBy(*keys).agg(F.max(column).alias("_new"))
+    value = F.coalesce(F.col("_new"), F.col(column))
+    if only_blank:
+        value = F.when(blank(F.col(column)), value).otherwise(F.col(column))
+    return df.join(new, keys, "left").withColumn(column, value).select(*df.columns)

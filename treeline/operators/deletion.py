@@ -5,6 +5,7 @@ Nothing here deletes a file; the results are tables for people and later jobs.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,6 @@ from treeline.operators.hierarchy import (
 )
 from treeline.operators.skew import HOT_ROWS
 from treeline.schema import ensure_columns
-from treeline.sources.workspace import stored
 
 
 def delete_manifest(
@@ -99,15 +99,16 @@ def subtree_candidates(
     the scan did not enter, so it may contain files nobody has looked at.
     """
     scope = list(within)
-    listed = manifest.select(*scope, "path").distinct()
+    listed = manifest.select(*scope, "path")
     found = df.where(F.coalesce(F.col("is_dir"), F.lit(False))).where(
         ~paths.is_root(F.col("path"))).select(*scope, "path").join(
         listed, [*scope, "path"], "left_semi")
     if existing is not None:
-        found = found.join(existing.select("path").distinct(), "path", "left_semi")
+        found = found.join(existing.select("path"), "path", "left_semi")
     found = found.withColumn("_key", paths.compare_key(F.col("path")))
     held = keys_above(protected_rows(df), within)
-    clean = stored(found.join(held, [*scope, "_key"], "left_anti"), "clean_directories")
+    # Read three times; persisting starts no job and keeps the plan that is optimised small.
+    clean = found.join(held, [*scope, "_key"], "left_anti").persist(StorageLevel.DISK_ONLY)
     keys = clean.select(*scope, "_key").distinct().withColumn("_mark", F.lit(True))
     top = mark_below(clean, keys, "_inside", with_self=False, within=within,
                      hot_rows=hot_rows).where(F.col("_inside").isNull())
@@ -147,7 +148,7 @@ def delete_files_plan(
 ) -> DataFrame:
     """Files to delete one by one: listed, not yet deleted, outside every subtree."""
     df = ensure_columns(df, ["delete_status"])
-    listed = manifest.select(*within, "path").distinct()
+    listed = manifest.select(*within, "path")
     done = F.coalesce(upper_value(F.col("delete_status")) == "DELETED", F.lit(False))
     files = df.where(~F.coalesce(F.col("is_dir"), F.lit(False)) & ~done).join(
         listed, [*within, "path"], "left_semi")
@@ -167,6 +168,6 @@ def apply_delete_outcomes(
     outcome = F.when(F.col("delete_status") == "DELETED", "DELETED").otherwise("FAILED")
     rows = mark_below(df, _subtree_marks(subtrees, outcome, within), "_tree", with_self=True,
                       within=within, hot_rows=hot_rows)
-    single = files.select(*within, "path", F.col("delete_status").alias("_single"))
+    single = files.groupBy(*within, "path").agg(F.max("delete_status").alias("_single"))
     return rows.join(single, [*within, "path"], "left").withColumn(
         "delete_status", F.coalesce("_tree", "_single", "delete_status")).select(*df.columns)

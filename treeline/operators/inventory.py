@@ -78,19 +78,24 @@ def prune_excluded_dirs(
 
 
 def seen_paths(df: DataFrame) -> DataFrame:
-    """Distinct paths an inventory or a manifest holds."""
-    return df.where(~unset(F.col("path"))).select("path").distinct()
+    """Paths an inventory or a manifest holds, for an anti join; a path may occur twice."""
+    return df.where(~unset(F.col("path"))).select("path")
 
 
-def new_rows(df: DataFrame, seen: DataFrame) -> DataFrame:
+def new_rows(df: DataFrame, seen: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Rows whose path is not recorded yet (exact text)."""
-    return df.join(seen, "path", "left_anti")
+    return df.join(seen, on or ["path"], "left_anti")
 
 
 def first_row_per_path(df: DataFrame, order: str = "row_seq") -> DataFrame:
-    """One row per path, the first in order; later ones are ignored."""
+    """One row per drive and path, the first in order; later ones are ignored.
+
+    A row without an order number comes last; ties go by hash, then by size.
+    """
     whole = F.struct(*df.columns)
-    return df.groupBy("path").agg(F.min_by(whole, F.col(order)).alias("_row")).select("_row.*")
+    rank = F.struct(F.coalesce(F.col(order), F.lit(2 ** 63 - 1)), F.coalesce("md5_hash", F.lit("")),
+                    F.coalesce("size_bytes", F.lit(-1)))
+    return df.groupBy("drive_id", "path").agg(F.min_by(whole, rank).alias("_row")).select("_row.*")
 
 
 def remaining_work(

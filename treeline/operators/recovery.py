@@ -137,6 +137,7 @@ def verify_copies(plan: DataFrame, copied: DataFrame) -> DataFrame:
     """
     extra = [c for c in ("source_size", "source_md5") if c in copied.columns]
     facts = copied.select(F.col("dest").alias("_dest"), "dest_size", "dest_md5", *extra)
+    facts = facts.groupBy("_dest").agg(F.min(F.struct(*facts.columns[1:])).alias("_f")).select("_dest", "_f.*")
     # Rows without a target get a key of their own, so they do not pile up on null.
     keyed = plan.withColumn("_dest", F.coalesce("dest", F.concat(F.lit("\u0000"), "path")))
     rows = keyed.join(facts, "_dest", "left")

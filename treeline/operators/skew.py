@@ -5,23 +5,25 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key with at least this many rows is spread over SALTS shuffle buckets.
+# A key with at least this many rows is spread over buckets of about so many rows. The
+# routing table of hot keys has at most rows / HOT_ROWS entries, so it is broadcast.
 HOT_ROWS = 1_000_000
-SALTS = 64
-# Routing table for hot keys: at most this many entries, so it is safe to broadcast.
-# Keys past it keep their exact result and only lose the extra spreading.
-MAX_HOT_KEYS = 1024
 # Rows without a key never match; they are spread over this many buckets.
 NULL_SALTS = 4096
 
 
+def _buckets(hot_rows: int) -> Column:
+    """Buckets of a key with n rows; at least two once it is hot."""
+    return F.when(F.col("n") >= hot_rows, F.greatest(F.ceil(F.col("n") / hot_rows), F.lit(2))
+                  ).otherwise(F.lit(1)).cast("int")
+
+
 def hot_keys(counts: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The heaviest keys of a table of (key columns, n)."""
-    heavy = counts.where(F.col("n") >= hot_rows)
-    return heavy.orderBy(F.desc("n"), *on).limit(MAX_HOT_KEYS).select(*on)
+    """The heavy keys of a table of (key columns, n) and their number of buckets."""
+    return counts.where(F.col("n") >= hot_rows).select(*on, _buckets(hot_rows).alias("_buckets"))
 
 
 def lookup_join(
@@ -44,12 +46,12 @@ def lookup_join(
     hot = hot_keys(lookup if counts is None else counts, on, hot_rows)
     bucket = F.xxhash64(*spread)
     keyless = reduce(or_, [F.col(c).isNull() for c in on])
-    left = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left").withColumn(
+    left = rows.join(F.broadcast(hot), on, "left").withColumn(
         "_salt",
         F.when(keyless, F.pmod(bucket, F.lit(NULL_SALTS)))
-        .when(F.col("_hot"), F.pmod(bucket, F.lit(SALTS)))
+        .when(F.col("_buckets").isNotNull(), F.pmod(bucket, F.col("_buckets")))
         .otherwise(F.lit(0)).cast("int"),
-    ).drop("_hot")
-    last = F.when(F.col("n") >= hot_rows, SALTS - 1).otherwise(0)
+    ).drop("_buckets")
+    last = _buckets(hot_rows) - 1
     right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("n")
     return left.join(right, on + ["_salt"], how).drop("_salt")

@@ -34,9 +34,18 @@ STRICTER = "\n\nThe previous answer was not a valid JSON array. Send only the JS
 Scorer = Callable[[str], str]
 
 
+def needs_triage_column() -> Column:
+    """Whether a row is neither rated nor a duplicate; never null."""
+    return F.coalesce(unset(F.col("recommendation")) & ~is_true(F.col("is_duplicate")), F.lit(False))
+
+
 def needs_triage(df: DataFrame) -> DataFrame:
-    df = ensure_columns(df, ["recommendation", "is_duplicate"])
-    return df.where(unset(F.col("recommendation")) & ~is_true(F.col("is_duplicate")))
+    return ensure_columns(df, ["recommendation", "is_duplicate"]).where(needs_triage_column())
+
+
+def needs_no_triage(df: DataFrame) -> DataFrame:
+    """All other rows: the two parts together are the inventory, row by row."""
+    return ensure_columns(df, ["recommendation", "is_duplicate"]).where(~needs_triage_column())
 
 
 def triage_rows(df: DataFrame, size: int = fixed.DEFAULT_BATCH_SIZE) -> DataFrame:

@@ -21,7 +21,7 @@ from treeline.operators import (
 )
 from treeline.schema import conform, ensure_columns
 from treeline.sources import tables, tree
-from treeline.sources.workspace import new_folder, stored
+from treeline.sources.workspace import Work
 
 
 @dataclass
@@ -58,19 +58,20 @@ def scan(spark: SparkSession, root: str, table: str, options: Options | None = N
     Known paths are removed before any file is read. Returns the rows added.
     """
     o = options or Options()
+    work = Work(spark, table)
     listing = tree.list_tree(
-        spark, root, new_folder(spark, "listing"), exclude_dirs=o.exclude_dirs,
+        spark, root, work.path("listing"), exclude_dirs=o.exclude_dirs,
         exclude_extensions=o.exclude_extensions)
     known = tables.read_table(spark, table)
     fresh = inventory.new_rows(listing, inventory.seen_paths(known))
     last = known.agg(F.max("row_seq")).first()[0]
-    numbered = stored(tree.number_rows(fresh, 0 if last is None else last + 1), "numbered")
-    hashed = stored(tree.hash_files(numbered), "hashed").withColumn(
+    numbered = work.stored(tree.number_rows(fresh, 0 if last is None else last + 1), "numbered")
+    hashed = work.stored(tree.hash_files(numbered), "hashed").withColumn(
         "drive_id", paths.drive(F.col("path")))
     baseline, registry = _lookups(spark, table, o)
     rows = duplicates.classify(
         conform(hashed), baseline, registry, earlier=known, min_dup_bytes=o.min_dup_bytes)
-    added = stored(rows, "scanned")
+    added = work.stored(rows, "scanned")
     tables.append_rows(added, table)
     return added
 
@@ -79,7 +80,7 @@ def estimate(spark: SparkSession, root: str, table: str, options: Options | None
     """Items and bytes a scan of the tree would still have to read."""
     o = options or Options()
     listing = conform(tree.list_tree(
-        spark, root, new_folder(spark, "estimate"), exclude_dirs=o.exclude_dirs,
+        spark, root, Work(spark, table).path("listing"), exclude_dirs=o.exclude_dirs,
         exclude_extensions=o.exclude_extensions))
     seen = inventory.seen_paths(tables.read_table(spark, table))
     counted = listing.where(
@@ -97,10 +98,11 @@ def ingest_csv(spark: SparkSession, files: str | list[str], table: str) -> int:
 def apply_edits(df: DataFrame, edits: DataFrame) -> DataFrame:
     """Lay reviews and decisions of (path, review, decision) over an inventory.
 
-    A null leaves the value as it is, an empty text clears it.
+    A null leaves the value as it is, an empty text clears it. Of several edits of one path
+    the last in text order counts.
     """
     df = ensure_columns(df, ["review", "decision"])
-    new = edits.select("path", F.col("review").alias("_review"), F.col("decision").alias("_decision"))
+    new = edits.groupBy("path").agg(F.max("review").alias("_review"), F.max("decision").alias("_decision"))
     return df.join(new, "path", "left").withColumns({
         c: F.coalesce(f"_{c}", c) for c in ("review", "decision")}).select(*df.columns)
 
@@ -116,13 +118,14 @@ def rate(
 ) -> None:
     """Rate the rows without a recommendation, in batches, with the caller's scorer."""
     o = options or Options()
+    work = Work(spark, table)
     marked = duplicates.mark_duplicates(tables.read_table(spark, table))
-    rows = stored(triage.triage_rows(marked, o.batch_size), "triage_rows")
+    rows = work.stored(triage.triage_rows(marked, o.batch_size), "triage_rows")
     prompts = triage.with_prompt(triage.assemble(rows, triage.ITEM_FIELDS))
     # Stored, so that no batch is sent again when a later step is retried.
-    replies = stored(triage.score_batches(prompts, scorer, o.concurrency), "replies")
+    replies = work.stored(triage.score_batches(prompts, scorer, o.concurrency), "replies")
     rated = triage.apply_replies(rows, replies).drop("batch_id", "batch_pos")
-    rest = marked.join(rows.select("drive_id", "path"), ["drive_id", "path"], "left_anti")
+    rest = triage.needs_no_triage(marked)
     tables.write_table(rest.unionByName(rated, allowMissingColumns=True), table)
 
 
@@ -136,31 +139,33 @@ def summarize(
     which returns PDF text with a form feed after each page.
     """
     o = options or Options()
+    tmp = Work(spark, table)
     df = ensure_columns(tables.read_table(spark, table), ["summary", "pdf_complexity"])
-    work = stored(content.summarize_eligible(df).select(
-        "path", "source_uri", "extension", "pdf_complexity"), "to_summarize").withColumn(
+    # One row per path: the same file under two rows is read and summarised once.
+    work = tmp.stored(content.summarize_eligible(df).groupBy("path").agg(*(
+        F.min(c).alias(c) for c in ("source_uri", "extension", "pdf_complexity"))), "to_summarize").withColumn(
         "route", content.content_route(F.col("extension")))
-    loaded = stored(tree.file_bytes(work), "file_bytes")
+    loaded = tmp.stored(tree.file_bytes(work), "file_bytes")
     joined = work.join(loaded, "path")
     plain = F.col("route").isin("text", "text_attempt")
     failed = joined.where(F.col("error").isNotNull()).select(
         "path", F.lit("error").alias("kind"), F.col("error").alias("content"))
     texts = joined.where(F.col("error").isNull() & plain).select(
         "path", F.lit("text").alias("kind"), content.utf8_text(F.col("content")).alias("content"))
-    decoded = stored(content.extract_content(
+    decoded = tmp.stored(content.extract_content(
         joined.where(F.col("error").isNull() & ~plain), decoder), "decoded")
     pdf = work.where(F.col("route") == "pdf").select("path", "pdf_complexity")
     pages = decoded.where(F.col("kind") == "text").join(pdf, "path", "left_semi").select(
         "path", F.posexplode(F.split(F.regexp_replace("content", "\f$", ""), "\f")).alias(
             "page_no", "text")).withColumn("n_images", F.lit(0))
-    facts = stored(content.pdf_complexity(pages, pdf), "pdf_facts")
+    facts = tmp.stored(content.pdf_complexity(pages, pdf), "pdf_facts")
     cleaned = decoded.withColumn("content", F.translate("content", "\f", "\n"))
     kinds = cleaned.join(facts.select("path", "is_complex"), "path", "left").withColumn(
         "kind", F.when(F.col("is_complex"), "complex_pdf").otherwise(F.col("kind"))
     ).drop("is_complex")
     contents = texts.unionByName(kinds).unionByName(failed)
-    done = stored(content.summarize(contents, summarizer, o.max_words, o.concurrency), "summaries")
-    out = content.fill_pdf_complexity(content.fold_outcomes(df, done, "summary"), facts)
+    done = tmp.stored(content.summarize(contents, summarizer, o.max_words, o.concurrency), "summaries")
+    out = content.fill_pdf_complexity(content.fold_outcomes(df, done, "summary", only_blank=True), facts)
     tables.write_table(out, table)
 
 
@@ -170,11 +175,11 @@ def organise(
 ) -> str:
     """Propose a taxonomy, assign target paths in batches, return the taxonomy."""
     o = options or Options()
-    df = tables.read_table(spark, table)
-    eligible = stored(organize.organize_eligible(df), "organizable")
-    batches = stored(organize.organize_batches(eligible, o.batch_size), "organize_batches")
-    taxonomy = organize.draft_taxonomy(batches, propose, merge, new_folder(spark, "taxonomy"))
-    replies = stored(organize.assign_batches(batches, taxonomy, assign), "assignments")
+    df, work = tables.read_table(spark, table), Work(spark, table)
+    eligible = work.stored(organize.organize_eligible(df), "organizable")
+    batches = work.stored(organize.organize_batches(eligible, o.batch_size), "organize_batches")
+    taxonomy = organize.draft_taxonomy(batches, propose, merge, work.path("taxonomy"))
+    replies = work.stored(organize.assign_batches(batches, taxonomy, assign), "assignments")
     assigned = organize.apply_assignments(df, eligible, organize.parse_assignments(replies))
     tables.write_table(assigned.drop("assigned"), table)
     return taxonomy
@@ -183,11 +188,11 @@ def organise(
 def copy(spark: SparkSession, table: str, dest_root: str, options: Options | None = None) -> DataFrame:
     """Copy the kept files, verify them, extend the registry; returns the counts."""
     o = options or Options()
-    df = tables.read_table(spark, table)
-    plan = stored(recovery.copy_plan(
+    df, work = tables.read_table(spark, table), Work(spark, table)
+    plan = work.stored(recovery.copy_plan(
         recovery.copy_eligible(df), dest_root, archive_prefix=o.archive_prefix), "copy_plan")
-    copied = stored(recovery.run_copies(plan, o.concurrency), "copied")
-    verified = stored(recovery.verify_copies(plan, copied), "verified")
+    copied = work.stored(recovery.run_copies(plan, o.concurrency), "copied")
+    verified = work.stored(recovery.verify_copies(plan, copied), "verified")
     if o.registry:
         stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
         tables.append_registry(recovery.registry_rows(verified, stamp), o.registry)
@@ -198,19 +203,27 @@ def copy(spark: SparkSession, table: str, dest_root: str, options: Options | Non
 
 def manifest(spark: SparkSession, table: str, folder: str) -> DataFrame:
     """Write the delete manifest as CSV; returns the totals."""
-    rows = stored(deletion.delete_manifest(tables.read_table(spark, table)), "manifest")
+    rows = Work(spark, folder).stored(deletion.delete_manifest(tables.read_table(spark, table)), "manifest")
     tables.write_manifest(rows, folder)
     return deletion.manifest_totals(rows)
 
 
 def manifest_all(spark: SparkSession, files: list[str], folder: str) -> DataFrame:
-    """Manifests of several CSV inventories in one job; returns totals per inventory."""
-    names = ["path", "filename", "size_bytes", "is_dir", "decision"]
+    """Manifests of several CSV inventories in one job; returns totals per inventory.
+
+    An inventory without anything to delete gets a manifest with a header only.
+    """
+    names, work = ["path", "filename", "size_bytes", "is_dir", "decision"], Work(spark, folder)
     rows = tables.read_csv(spark, files, names).where(~blank(F.col("path")))
-    inv = stored(conform(rows), "inventories")
-    listed = stored(deletion.delete_manifest(inv, within=("source_csv",)), "manifests")
+    inv = work.stored(conform(rows, from_csv=True), "inventories")
+    listed = work.stored(deletion.delete_manifest(inv, within=("source_csv",)), "manifests")
     tables.write_manifests_per_drive(listed, "source_csv", folder)
-    return deletion.manifest_totals(listed, ["source_csv"])
+    totals = deletion.manifest_totals(listed, ["source_csv"])
+    every = spark.createDataFrame([(f,) for f in files], "source_csv string").distinct()
+    found = every.join(totals, "source_csv", "left")
+    none = [r["source_csv"] for r in found.where("total_rows is null").collect()]
+    tables.write_empty_manifests(spark, none, folder)
+    return found.na.fill(0)
 
 
 def delete_plan(spark: SparkSession, table: str, manifest_folder: str) -> tuple[DataFrame, DataFrame]:
@@ -218,10 +231,10 @@ def delete_plan(spark: SparkSession, table: str, manifest_folder: str) -> tuple[
 
     Raises when the manifest no longer matches the table. Nothing is deleted.
     """
-    df = tables.read_table(spark, table)
-    current = stored(hierarchy.paths_with_value(df, "decision", "DELETE"), "delete_set")
+    df, work = tables.read_table(spark, table), Work(spark, manifest_folder)
+    current = work.stored(hierarchy.paths_with_value(df, "decision", "DELETE"), "delete_set")
     deletion.check_manifest(current, tables.read_manifest(spark, manifest_folder))
-    subtrees = stored(deletion.subtree_candidates(df, current), "subtrees")
+    subtrees = work.stored(deletion.subtree_candidates(df, current), "subtrees")
     return subtrees, deletion.delete_files_plan(df, current, subtrees)
 
 
@@ -231,6 +244,6 @@ def resolve(spark: SparkSession, table: str, path: str) -> DataFrame:
 
 def duplicates_report(spark: SparkSession, files: list[str], folder: str) -> DataFrame:
     """Write the report over several CSV inventories; returns its totals."""
-    report = stored(reports.duplicates_report(tables.read_report_input(spark, files)), "report")
+    report = Work(spark, folder).stored(reports.duplicates_report(tables.read_report_input(spark, files)), "report")
     tables.write_report(report, folder)
     return reports.report_totals(report)

@@ -55,9 +55,14 @@ def text_schema(columns: list[str] | None = None) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def _typed(field: T.StructField, present: Column) -> Column:
+# Text columns in which a null token is never a real value.
+TOKEN_COLUMNS = ("review", "decision")
+
+
+def _typed(field: T.StructField, present: Column, from_csv: bool) -> Column:
     text = present.cast("string")
-    if field.name == "path":
+    is_text = field.dataType == T.StringType()
+    if field.name == "path" or is_text and not (from_csv or field.name in TOKEN_COLUMNS):
         return text
     text = null_if_token(text)
     if field.dataType == T.BooleanType():
@@ -67,9 +72,12 @@ def _typed(field: T.StructField, present: Column) -> Column:
     return text.try_cast(field.dataType)
 
 
-def conform(df: DataFrame) -> DataFrame:
+def conform(df: DataFrame, from_csv: bool = False) -> DataFrame:
     """Inventory columns in order with canonical types; missing ones become nulls.
 
+    Null tokens (NA, None, null) are read as nulls in CSV cells; in a stored table only
+    reviews and decisions are, as a file may have such a name.
+
     Columns the contract does not name are kept behind them. Numbers and times
     that cannot be read become null.
     """
@@ -81,7 +89,7 @@ def conform(df: DataFrame) -> DataFrame:
         elif df.schema[field.name].dataType == field.dataType and field.dataType != T.StringType():
             columns.append(F.col(field.name))
         else:
-            columns.append(_typed(field, F.col(field.name)).alias(field.name))
+            columns.append(_typed(field, F.col(field.name), from_csv).alias(field.name))
     # Path comparisons run within a drive, so its name is never null.
     columns[0] = F.coalesce(columns[0], F.lit("")).alias("drive_id")
     return df.select(*columns, *[c for c in df.columns if c not in known])

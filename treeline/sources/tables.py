@@ -37,12 +37,12 @@ def read_csv(
         frames.append(raw.select(
             *[(F.col(f"`{c}`") if c in raw.columns else F.lit(None)).cast("string").alias(c)
               for c in columns],
-            F.lit(source).alias("source_csv"),
-            F.monotonically_increasing_id().alias("row_seq")))
+            F.lit(source).alias("source_csv")))
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)
-    return out
+    # Numbered once over all files: partitions of a union stand in the order of its parts.
+    return out.withColumn("row_seq", F.monotonically_increasing_id())
 
 
 def read_inventory_csv(
@@ -52,7 +52,7 @@ def read_inventory_csv(
     names = [f.name for f in text_schema()]
     raw = read_csv(spark, files, names, multi_line=multi_line)
     return conform(raw.where(F.col("path").isNotNull()).withColumn(
-        "drive_id", paths.drive(F.col("path"))))
+        "drive_id", paths.drive(F.col("path"))), from_csv=True)
 
 
 def write_csv(df: DataFrame, folder: str) -> None:
@@ -90,6 +90,15 @@ def write_manifests_per_drive(manifest: DataFrame, inventory_name: str, folder:
     named.write.options(**CSV, emptyValue="").partitionBy("manifest").csv(folder)
 
 
+def write_empty_manifests(spark: SparkSession, inventories: list[str], folder: str) -> None:
+    """A manifest with a header only for each inventory that has nothing to delete."""
+    names = spark.createDataFrame([(i,) for i in inventories], "inventory string").select(
+        manifest_name(F.col("inventory")).alias("name")).distinct().collect()
+    for row in names:
+        empty = spark.createDataFrame([], text_schema(MANIFEST_COLUMNS))
+        write_csv(empty, f"{folder}/manifest={row['name']}")
+
+
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.options(**CSV, multiLine=True).schema(
         text_schema(MANIFEST_COLUMNS)).csv(folder)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeline.operators import duplicates, inventory
-from treeline.schema import INVENTORY, REGISTRY, conform
+from treeline.schema import INVENTORY, conform
 
 STATE_FOLDER = "inventory"
 
@@ -29,12 +29,17 @@ def add_arrivals(
 ) -> DataFrame:
     """The rows of one arrival that are new, with their duplicate columns.
 
-    Paths are reduced to one row each before they meet the stored ones.
+    Paths are reduced to one row per drive before they meet the stored ones. Of the state
+    only the rows with a path or a hash of the arrival go on: it is cut by semi joins, in
+    which the arrival is the small side, before anything is grouped.
     """
-    fresh = inventory.new_rows(
-        inventory.first_row_per_path(conform(arrived)), inventory.seen_paths(stored))
+    key = ["drive_id", "path"]
+    first = inventory.first_row_per_path(conform(arrived))
+    known = stored.select(*key).join(first.select(*key), key, "left_semi")
+    fresh = inventory.new_rows(first, known, key)
+    same = stored.join(first.select("drive_id", "md5_hash"), ["drive_id", "md5_hash"], "left_semi")
     return duplicates.classify(
-        fresh, baseline, registry, earlier=stored, baseline_drive=baseline_drive)
+        fresh, baseline, registry, earlier=same, baseline_drive=baseline_drive)
 
 
 def arrival_writer(
@@ -85,7 +90,3 @@ def run_available(
     )
     query.awaitTermination()
     return read_state(spark, state)
-
-
-def registry_table(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(REGISTRY).parquet(folder)
