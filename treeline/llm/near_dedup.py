@@ -13,8 +13,8 @@ pairs of a group:
 1. Each node meets one hub: of the nodes that share a key with it and have the most keys,
    the one with which it shares most. Confirmed links give components.
 2. In every key whose nodes are still in several components, each node outside of the
-   most frequent one is sent to the blocks of about `block` nodes that hold the key's
-   nodes. A block counts all intersections at once and returns at most one link for each
+   most frequent one is sent to all blocks, of about `block` nodes each, of the components
+   (with the nodes that met their hubs in vain) to which the key's nodes belong. A block counts all intersections at once and returns at most one link for each
    node and component. So every pair that shares a key and lies in two components is compared.
 """
 
@@ -209,9 +209,7 @@ def _components(rows: DataFrame, groups: DataFrame, width: int, percent: int, ta
     """(node, comp) of every node whose component is larger than itself."""
     keys = _keys(groups, tables, n_parts)
     total = keys.count()
-    degrees = keys.groupBy("node").agg(
-        F.count("*").alias("degree"), F.max(F.struct("n", "key")).alias("home"))
-    degrees = stored(degrees.select("node", "degree", F.col("home.key").alias("home")), "degrees")
+    degrees = stored(keys.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
     texts = stored(rows.select(F.col("doc_id").alias("node"), "text").join(
         degrees.select("node"), "node", "left_semi"), "texts")
 
@@ -223,32 +221,36 @@ def _components(rows: DataFrame, groups: DataFrame, width: int, percent: int, ta
     met = lookup(keys.drop("n"), hubs, ["key"], "n", total, n_parts).where("hub <> node")
     shares = met.groupBy("node", "hub").agg(F.count("*").alias("shared"))
     best = shares.groupBy("node").agg(F.max(F.struct("shared", -F.col("hub"))).alias("b"))
-    chosen = best.select("node", F.col("node").alias("comp"), (-F.col("b.col2")).alias("block"))
+    chosen = stored(best.select("node", F.col("node").alias("comp"), (-F.col("b.col2")).alias("block")), "chosen")
     members = chosen.select("block").distinct().select(
         F.col("block").alias("node"), F.col("block").alias("comp"), "block")
     first = stored(_links(chosen, members, texts, width, percent), "links")
     comps = components(first, "a", "b").select(F.col("hi").alias("node"), F.col("lo").alias("comp"))
 
     # Step 2: what is still apart within a key, against blocks of the key's nodes.
-    # Blocks hold nodes of one component, and nodes that are alone by their largest key.
-    linked = comps.union(comps.select("comp", "comp").distinct())
-    at_home = stored(degrees.join(linked, "node", "left").select(
-        "node", F.coalesce("comp", "node").alias("comp"),
-        F.when(F.col("comp").isNotNull(), F.xxhash64(F.lit(0), "comp"))
-        .otherwise(F.xxhash64(F.lit(1), "home")).alias("home")), "homes")
+    # A node is at home with its component; one that is alone, with that of its hub. Homes
+    # are cut into blocks at random.
+    linked = degrees.select("node").join(chosen.select("node", F.col("block").alias("hub")), "node", "left").join(
+        comps, "node", "left").withColumn("hub", F.coalesce("hub", "node"))
+    hub_comp = comps.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+    at_home = stored(linked.join(hub_comp, "hub", "left").select(
+        "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("comp", "hub_comp", "hub").alias("home")), "homes")
     large = at_home.groupBy("home").agg(F.count("*").alias("n")).where(F.col("n") > block)
     part = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("n", F.lit(1)) / block))
     placed = stored(lookup(at_home, large, ["home"], "n", at_home.count(), n_parts).select(
-        "node", "comp", F.xxhash64("home", part).alias("block")), "placed")
-    apart = keys.drop("n").join(placed, "node")
+        "node", "comp", "home", F.xxhash64("home", part).alias("block")), "placed")
+    apart = keys.drop("n").join(placed.select("node", "comp", "home"), "node")
     per_comp = apart.groupBy("key", "comp").agg(F.count("*").alias("m"))
     mixed = per_comp.groupBy("key").agg(
         F.max(F.struct("m", "comp")).alias("most"), F.count("*").alias("comps"), F.sum("m").alias("n")).where(
         "comps > 1").select("key", F.col("most.comp").alias("most"), "n")
     mixed = stored(lookup(apart, mixed, ["key"], "n", total, n_parts).where("most is not null"), "mixed")
-    blocks = mixed.select("key", "block").distinct()
+    # First which homes a node has to see, then all their blocks: few homes have a key.
+    homes = mixed.select("key", "home").distinct()
     outside = mixed.where("comp <> most").select("key", "node", "comp")
-    probes = stored(outside.join(blocks, "key").select("node", "comp", "block").distinct(), "probes")
+    sees = outside.join(homes, "key").select("node", "comp", "home").distinct()
+    probes = stored(sees.join(placed.select("home", "block").distinct(), "home").select(
+        "node", "comp", "block"), "probes")
     held = placed.join(probes.select("block").distinct(), "block", "left_semi").select("node", "comp", "block")
     second = _links(probes, held, texts, width, percent)
     comp_of = placed.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"))

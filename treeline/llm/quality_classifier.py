@@ -85,7 +85,7 @@ def fit(texts: list[str], labels: list[int], n_buckets: int = N_BUCKETS, dim: in
     for t in texts:
         data, offsets = buffer(pa.array([t], pa.string()))
         entry, n = np.unique(features(data, offsets, n_buckets, ngrams)[0], return_counts=True)
-        bags.append((entry, (n / max(1, n.sum())).astype(np.float32)))
+        bags.append((entry.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     draw = np.random.default_rng(seed)
     vectors = draw.uniform(-1 / dim, 1 / dim, (n_buckets, dim)).astype(np.float32)
     outputs, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
