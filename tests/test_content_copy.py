@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from treeline.operators import content, organize, recovery, reports
@@ -67,6 +68,37 @@ def test_taxonomy_merges_in_rounds(spark, tmp_path):
     assert sorted(text.split()) == sorted(f"t{i}" for i in range(45))
 
 
+def test_failed_taxonomy_calls_are_repeated_and_named(spark, tmp_path):
+    batches = spark.createDataFrame(
+        [("D:", i, 1, f"[{i}]") for i in range(3)], "drive_id string, batch_id long, n_rows long, items string")
+    asked = []
+
+    def once(prompt):
+        if not asked:
+            asked.append(prompt)
+            raise OSError("busy")
+        return prompt
+
+    out = organize.ask_each(batches.coalesce(1).withColumn("prompt", batches["items"]), once, ["batch_id"])
+    assert sorted(r.reply for r in out.collect()) == ["[0]", "[1]", "[2]"]
+
+    def never(prompt):
+        if prompt == "[1]":
+            raise OSError("gone")
+        return prompt
+
+    with pytest.raises(RuntimeError, match="D:/1.*gone"):
+        organize.draft_taxonomy(batches, never, never, str(tmp_path))
+
+
+def test_the_last_batch_decides_between_two_that_name_a_path(spark):
+    df = spark.createDataFrame([("a", None)], "path string, organized_path string")
+    proposed = spark.createDataFrame(
+        [("a", "first", 0, 9), ("a", "last", 1, 0)],
+        "original_path string, organized_path string, batch_id int, position int")
+    assert organize.apply_assignments(df, df, proposed).first().organized_path == "last"
+
+
 def test_assignments(spark):
     df = spark.createDataFrame([("a", "old"), ("b", None), ("c", "x")], "path string, organized_path string")
     proposed = spark.createDataFrame(

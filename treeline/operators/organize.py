@@ -41,40 +41,62 @@ def organize_batches(eligible: DataFrame, size: int = fixed.DEFAULT_BATCH_SIZE)
 
 
 def ask_each(prompts: DataFrame, ask: Callable[[str], str], keys: list[str]) -> DataFrame:
-    """(keys, reply): one call per prompt; a failed call gives a null reply."""
+    """(keys, reply, error): a call that fails or gives no text is made once more.
+
+    A call that fails twice has a null reply and says why.
+    """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
-                       for f in prompts.select(*keys).schema) + ", reply string"
+                       for f in prompts.select(*keys).schema) + ", reply string, error string"
+
+    def answer(prompt: str) -> tuple[str | None, str | None]:
+        error = None
+        for _ in range(2):
+            try:
+                reply = ask(prompt)
+                if reply and reply.strip():
+                    return reply, None
+                error = "no usable reply"
+            except Exception as e:  # any failure of the caller's model counts
+                error = str(e)
+        return None, error
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            replies = []
-            for prompt in frame["prompt"]:
-                try:
-                    replies.append(ask(prompt))
-                except Exception:
-                    replies.append(None)
-            yield frame[keys].assign(reply=replies)
+            answers = [answer(p) for p in frame["prompt"]]
+            yield frame[keys].assign(reply=[a[0] for a in answers], error=[a[1] for a in answers])
 
     return prompts.select(*keys, "prompt").mapInPandas(run, schema)
 
 
+def check_replies(replies: DataFrame, what: str, keys: list[str]) -> None:
+    """Raise with the first few keys when a call failed twice: nothing is left out in silence."""
+    failed = replies.where(F.col("reply").isNull())
+    some = failed.orderBy(*keys).limit(10).collect()
+    if some:
+        named = "; ".join(f"{[r[k] for k in keys]}: {r['error']}" for r in some)
+        raise RuntimeError(f"{failed.count()} {what} failed twice: {named}")
+
+
 def draft_taxonomy(
     batches: DataFrame, propose: Callable[[str], str], merge: Callable[[str], str], folder: str
 ) -> str:
     """One taxonomy text over all summaries: a draft per batch, then merged in rounds.
 
     Every round is written to `folder` (shared storage), so no call is repeated when
-    a later step fails. Only the last text comes to the driver.
+    a later step fails. Only the last text comes to the driver. Raises when a draft or a
+    merge fails twice.
     """
     spark = batches.sparkSession
     prompts = batches.select(
-        F.xxhash64("drive_id", "batch_id").alias("slot"), F.col("items").alias("prompt"))
-    drafts = ask_each(prompts, propose, ["slot"]).where(~blank(F.col("reply")))
+        F.xxhash64("drive_id", "batch_id").alias("slot"),
+        F.concat_ws("/", "drive_id", "batch_id").alias("batches"), F.col("items").alias("prompt"))
+    drafts = ask_each(prompts, propose, ["slot", "batches"])
     step = 0
     while True:
         target = f"{folder}/taxonomy_{step}"
         drafts.write.mode("overwrite").parquet(target)
         drafts = spark.read.parquet(target)
+        check_replies(drafts, "taxonomy calls", ["batches"])
         n = drafts.count()
         if n <= 1:
             last = drafts.take(1)
@@ -85,15 +107,16 @@ def draft_taxonomy(
             scope=(), order="_at", then=[F.col("slot"), F.col("reply")])
         prompts = ranked.groupBy(F.col("batch_id").alias("slot")).agg(F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("batch_pos", "reply"))),
-                        lambda x: x["reply"]), "\n\n").alias("prompt"))
-        drafts = ask_each(prompts, merge, ["slot"]).where(~blank(F.col("reply")))
+                        lambda x: x["reply"]), "\n\n").alias("prompt"),
+            F.concat(F.min("batches"), F.lit(" and others")).alias("batches"))
+        drafts = ask_each(prompts, merge, ["slot", "batches"])
         step += 1
 
 
 def assign_batches(batches: DataFrame, taxonomy: str, assign: Callable[[str], str]) -> DataFrame:
-    """(drive_id, batch_id, reply): the target paths proposed for each batch.
+    """(drive_id, batch_id, reply, error): the target paths proposed for each batch.
 
-    A batch whose reply is unusable changes nothing; its rows keep their paths.
+    A batch whose reply is unusable twice has a null reply.
     """
     def checked(prompt: str) -> str | None:
         reply = assign(prompt)
@@ -122,13 +145,15 @@ def parse_assignments(replies: DataFrame) -> DataFrame:
 def apply_assignments(df: DataFrame, eligible: DataFrame, assignments: DataFrame) -> DataFrame:
     """Set organized_path of eligible rows; the last assignment of a path counts.
 
-    `assignments` holds (original_path, organized_path, position); rows that are not
-    eligible or not named keep what they have. Adds the boolean `assigned`.
+    `assignments` holds (original_path, organized_path, position) and may give the
+    batch_id, which then goes before the position. Rows that are not eligible or not named
+    keep what they have. Adds the boolean `assigned`.
     """
     df = ensure_columns(df, ["organized_path"])
+    order = F.struct(*[c for c in ("batch_id", "position") if c in assignments.columns])
     latest = assignments.groupBy(F.col("original_path").alias("path")).agg(
-        F.max_by(F.struct("organized_path"), "position").alias("_to"))
-    allowed = eligible.select("path").distinct()
+        F.max_by(F.struct("organized_path"), order).alias("_to"))
+    allowed = eligible.select("path")
     targets = latest.join(allowed, "path", "left_semi")
     return df.join(targets, "path", "left").withColumns({
         "organized_path": F.when(F.col("_to").isNotNull(), F.col("_to.organized_path"))
