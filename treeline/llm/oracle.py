@@ -26,7 +26,41 @@ def _whole(lines: str) -> str:
 
 _KNOWN = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in KNOWN)
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BIT = "(ascii(substr(bits, 5 * i + {k}, 1)) - 48)"
+_FIVE = " + ".join(f"{2 ** (5 - k)} * {_BIT.format(k=k)}" for k in range(1, 6))
+
 ORACLE = {
+    "op3_near_dedup": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^ \t-\r]+') AS ws FROM documents),
+sh AS (SELECT doc_id, unnest(CASE WHEN len(ws) < 2 THEN ws
+         ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END) AS s
+       FROM w),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+item AS (SELECT sh.doc_id, hash(s) AS h, n FROM sh JOIN size ON sh.doc_id = size.doc_id),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b
+         FROM item a JOIN item b ON a.h = b.h AND a.doc_id < b.doc_id
+           AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+         GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a, b FROM both_ways UNION
+          SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
+SELECT w.doc_id, coalesce(max(size.n), 0)::BIGINT AS n_shingles,
+       least(w.doc_id, coalesce(min(reach.b), w.doc_id)) AS component_id,
+       w.doc_id = least(w.doc_id, coalesce(min(reach.b), w.doc_id)) AS kept
+FROM w LEFT JOIN size ON size.doc_id = w.doc_id LEFT JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id
+""",
+    "op4_warc": f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT *, unhex(sha1(payload))::BIT::VARCHAR AS bits, max(page_id) OVER (PARTITION BY payload) AS last
+      FROM p)
+SELECT page_id, octet_length(payload) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + {_FIVE})::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d
+""",
     "op8_license_scan": f"""
 WITH known AS (SELECT sha256({_whole(_canonical_lines('t'))}) AS digest, max(name) AS license
                FROM (VALUES {_KNOWN}) v(name, t) GROUP BY 1),
