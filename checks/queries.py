@@ -58,7 +58,7 @@ def hash_winners(spark: SparkSession, d: str) -> DataFrame:
     """The row that stands for each hash: last on the baseline, first on a drive."""
     inv = sample.conformed(spark, d)
     last = duplicates.baseline_hashes(inv.where(F.col("drive_id") == sample.BASELINE_DRIVE))
-    first = duplicates.first_of_hash(inv, ["row_seq", "path"])
+    first = duplicates.first_of_hash(inv)
     return first.join(last, "md5_hash", "left").select(
         "drive_id", "md5_hash", "first_path", "n", "baseline_path")
 

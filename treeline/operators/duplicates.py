@@ -7,6 +7,8 @@ hash first; only hashes that have a match or occur twice go into the row join.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +46,27 @@ def registry_hashes(df: DataFrame, order: str) -> DataFrame:
     )
 
 
-def first_of_hash(df: DataFrame, order: list[str]) -> DataFrame:
-    """(drive_id, md5_hash, first_path, n) over the hashed files of each drive."""
-    return (
-        df.where(_hashed(df)).groupBy("drive_id", "md5_hash")
-        .agg(F.min_by("path", F.struct(*order)).alias("first_path"), F.count("*").alias("n"))
-    )
+def first_of_hash(
+    df: DataFrame, order: str = "row_seq", *, generation: str | None = None, least: int = 1
+) -> DataFrame:
+    """(drive_id, md5_hash, n, first_path) over the hashed files of each drive.
+
+    First is generation 0 before 1, then order number (rows without one come last),
+    then path. Only numbers are aggregated over all rows; paths are fetched for the hashes
+    that at least `least` files have, by a join on the number of the first row, which
+    spreads the rows of a hot hash. first_path is null for the other hashes.
+    """
+    number = F.coalesce(F.col(order), F.lit(2 ** 63 - 1)).cast("decimal(38,0)")
+    if generation is not None:
+        number = F.when(F.col(generation) > 0, number + F.lit(Decimal(10 ** 19))).otherwise(number)
+    rows = df.where(_hashed(df)).select(
+        "drive_id", "md5_hash", "path", number.cast("decimal(38,0)").alias("_number"))
+    counts = rows.groupBy("drive_id", "md5_hash").agg(
+        F.count("*").alias("n"), F.min("_number").alias("_number"))
+    wanted = counts.where(F.col("n") >= least)
+    first = rows.join(wanted.drop("n"), ["drive_id", "md5_hash", "_number"]).groupBy(
+        "drive_id", "md5_hash").agg(F.min("path").alias("first_path"))
+    return counts.drop("_number").join(first, ["drive_id", "md5_hash"], "left")
 
 
 def classify(
@@ -80,7 +97,7 @@ def classify(
         generation = generation.unionByName(
             earlier.where(_hashed(earlier))
             .select("drive_id", "md5_hash", "path", order, F.lit(0).alias("_gen")))
-    local = first_of_hash(generation, ["_gen", order, "path"])
+    local = first_of_hash(generation, order, generation="_gen", least=2)
 
     info = local.join(baseline, "md5_hash", "left").join(registry, "md5_hash", "left")
     if baseline_drive is not None:

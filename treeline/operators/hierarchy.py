@@ -102,10 +102,10 @@ def resolve(
     stated = {c: ~blank(F.col(c)) for c in present}
     position = F.struct(order, "path")
 
-    by_key = keyed.groupBy(*scope, "_key").agg(
+    # Only rows that state something are grouped; they are few next to all rows.
+    by_key = keyed.where(_any(list(stated.values()))).groupBy(*scope, "_key").agg(
         F.count("*").alias("n"),
-        *[F.max_by(F.col(c), F.when(stated[c], position)).alias(f"_own_{c}") for c in present],
-    ).where(_any([F.col(f"_own_{c}").isNotNull() for c in present]))
+        *[F.max_by(F.col(c), F.when(stated[c], position)).alias(f"_own_{c}") for c in present])
 
     directories = _directories(keyed, scope)
     above = _match_chain(directories, by_key.drop("n"), scope, hot_rows).groupBy(
@@ -119,14 +119,13 @@ def resolve(
     ])
     rows = _lookup_parent(keyed, above, directories, scope, ["path", order], hot_rows)
 
-    # Only paths that occur on several rows need the shared value.
-    shared = by_key.where(F.col("n") > 1).withColumn("_shared", F.lit(True))
+    # A row finds its own value here, and what another row of the same path states.
     rows = lookup_join(
-        rows, shared, [*scope, "_key"], ["path", order], "left", hot_rows=hot_rows)
+        rows, by_key, [*scope, "_key"], ["path", order], "left", hot_rows=hot_rows)
 
     out = {}
     for c in present:
-        own = F.when(F.col("_shared"), F.col(f"_own_{c}")).when(stated[c], F.col(c))
+        own = F.coalesce(F.col(f"_own_{c}"), F.when(stated[c], F.col(c)))
         up = F.col(f"_up_{c}")
         out[f"effective_{c}"] = F.coalesce(own, up["value"])
         out[f"{c}_distance"] = F.when(own.isNotNull(), 0).otherwise(up["step"]).cast("int")
