@@ -305,3 +305,42 @@ def test_an_inventory_without_deletes_gets_a_manifest_with_a_header(spark, tmp_p
     assert totals == {"a.csv": 1, "b.csv": 0}
     empty = tmp_path / "out" / "manifest=b_delete_manifest.csv"
     assert [p.read_text().strip() for p in empty.glob("part-*")] == ["path,filename,size_bytes,decision_source"]
+
+
+def test_a_directory_that_breaks_off_keeps_what_was_listed(monkeypatch):
+    class Broken:
+        def __init__(self):
+            self.left = 1
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+        def __iter__(self):
+            return self
+
+        def __next__(self):
+            if not self.left:
+                raise OSError(5, "Input/output error")
+            self.left -= 1
+            return Entry()
+
+    class Entry:
+        name, path = "f.txt", "/d/f.txt"
+
+        def is_dir(self):
+            return False
+
+        def is_symlink(self):
+            return False
+
+    monkeypatch.setattr(tree.os, "scandir", lambda d: Broken())
+    rows = list(tree._visit("/d", set(), set()))
+    assert [r[0] for r in rows] == ["dir", "file", "error"] and "Input/output" in rows[-1][-1]
+
+
+def test_a_root_that_does_not_exist_is_refused(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        jobs.scan(spark, str(tmp_path / "nowhere"), str(tmp_path / "t"))

@@ -64,3 +64,15 @@ SPARSE_PDF_CHARS_PER_PAGE = 100
 SHEET_ROW_CAP = 20
 DEFAULT_BATCH_SIZE = 50
 DEFAULT_MAX_WORDS = 2000
+
+# What the plain rating rules go by.
+RULE_DOCUMENTS = [".docx", ".pdf", ".xlsx"]
+RULE_IMAGES = [".jpg", ".png", ".psd", ".raw", ".tiff"]
+RULE_PROGRAMS = [".exe", ".msi", ".dll", ".sys"]
+RULE_SYSTEM_DIRS = ["Windows", "Program Files", "AppData"]
+RULE_USER_DIRS = ["users", "home"]
+RULE_SMALL_BYTES = 1024
+
+# Patterns of the code fences around a reply, case ignored.
+FENCE_OPEN = r"^```(?:json)?\s*"
+FENCE_CLOSE = r"\s*```$"

@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from treeline.fixed_values import FENCE_CLOSE, FENCE_OPEN
 from treeline.functions.values import strip
 
 _ITEMS = "array<array<map<string,string>>>"
@@ -15,8 +16,8 @@ _ITEMS = "array<array<map<string,string>>>"
 
 def unfenced(text: Column) -> Column:
     """The reply without Markdown code fences and surrounding white space."""
-    opened = F.regexp_replace(strip(text), r"(?i)^```(?:json)?\s*", "")
-    return strip(F.regexp_replace(strip(opened), r"\s*```$", ""))
+    opened = F.regexp_replace(strip(text), "(?i)" + FENCE_OPEN, "")
+    return strip(F.regexp_replace(strip(opened), FENCE_CLOSE, ""))
 
 
 def parse_items(text: Column, required: list[str]) -> Column:
@@ -44,8 +45,8 @@ def _has_all(item: Column, required: list[str]) -> Column:
 
 def usable(text: str, required: list[str]) -> bool:
     """The same test for one reply inside a Python worker, to decide on a retry."""
-    body = re.sub(r"^```(?:json)?\s*", "", text.strip(), flags=re.IGNORECASE)
-    body = re.sub(r"\s*```$", "", body.strip())
+    body = re.sub(FENCE_OPEN, "", text.strip(), flags=re.IGNORECASE)
+    body = re.sub(FENCE_CLOSE, "", body.strip())
     try:
         items = json.loads(body)
     except ValueError:

@@ -19,16 +19,10 @@ ITEM_FIELDS = ["path", "filename", "extension", "is_dir", "size_bytes", "modifie
 REPLY_KEYS = ["path", "recommendation", "confidence", "comment"]
 RATINGS = ["INTERESTING", "REVIEW", "SKIP"]
 
-INSTRUCTIONS = """Rate each file or directory of an old personal computer.
-Per item give recommendation (INTERESTING, REVIEW or SKIP), confidence (0.0 to 1.0)
-and comment (one sentence). Judge only by path, filename, extension, size_bytes and
-modified. INTERESTING is likely unique personal work, REVIEW is unclear, SKIP is
-system, installer or downloaded material.
-Answer with a JSON array of objects with the keys path, recommendation, confidence
-and comment, and nothing else.
-
-Items:
-"""
+#: What a reply has to look like; what to judge by is the caller's to say.
+INSTRUCTIONS = (
+    "Rate each item INTERESTING, REVIEW or SKIP. Answer only with a JSON array of objects with"
+    " the keys path, recommendation, confidence and comment.\n\nItems:\n")
 STRICTER = "\n\nThe previous answer was not a valid JSON array. Send only the JSON array."
 
 Scorer = Callable[[str], str]
@@ -59,8 +53,8 @@ def triage_batches(df: DataFrame, size: int = fixed.DEFAULT_BATCH_SIZE) -> DataF
     return assemble(triage_rows(df, size), ITEM_FIELDS)
 
 
-def with_prompt(batches: DataFrame) -> DataFrame:
-    return batches.withColumn("prompt", F.concat(F.lit(INSTRUCTIONS), F.col("items")))
+def with_prompt(batches: DataFrame, instructions: str = INSTRUCTIONS) -> DataFrame:
+    return batches.withColumn("prompt", F.concat(F.lit(instructions), F.col("items")))
 
 
 def score_batches(prompts: DataFrame, scorer: Scorer, concurrency: int | None = None) -> DataFrame:
@@ -142,30 +136,21 @@ def apply_replies(rows: DataFrame, replies: DataFrame) -> DataFrame:
     ).select(*rows.columns, "recommendation_valid")
 
 
-# The guidance the scoring instructions give, as plain rules.
-RULE_DOCUMENTS = [".docx", ".pdf", ".xlsx"]
-RULE_IMAGES = [".jpg", ".png", ".psd", ".raw", ".tiff"]
-RULE_PROGRAMS = [".exe", ".msi", ".dll", ".sys"]
-RULE_SYSTEM_DIRS = ["Windows", "Program Files", "AppData"]
-RULE_USER_DIRS = ["users", "home"]
-RULE_SMALL_BYTES = 1024
-
-
 def rule_ratings(df: DataFrame) -> DataFrame:
     """A deterministic scorer without a model: (recommendation, confidence, comment)."""
     names = paths.parts(F.col("path"))
     is_dir = F.coalesce(F.col("is_dir"), F.lit(False))
     ext = F.lower(F.coalesce(F.col("extension"), F.lit("")))
     size = F.coalesce(F.col("size_bytes").try_cast("long"), F.lit(0))
-    in_user_dir = F.exists(names, lambda n: F.lower(n).isin(RULE_USER_DIRS))
-    in_system = F.exists(names, lambda n: n.isin(RULE_SYSTEM_DIRS))
+    in_user_dir = F.exists(names, lambda n: F.lower(n).isin(fixed.RULE_USER_DIRS))
+    in_system = F.exists(names, lambda n: n.isin(fixed.RULE_SYSTEM_DIRS))
     rule = _first_rule([
         (in_system, "SKIP", 0.99, "system directory"),
-        (~is_dir & ext.isin(RULE_PROGRAMS), "SKIP", 0.9, "program file"),
-        (~is_dir & ext.isin(RULE_DOCUMENTS) & in_user_dir, "INTERESTING", 0.8,
+        (~is_dir & ext.isin(fixed.RULE_PROGRAMS), "SKIP", 0.9, "program file"),
+        (~is_dir & ext.isin(fixed.RULE_DOCUMENTS) & in_user_dir, "INTERESTING", 0.8,
          "document in a user directory"),
-        (~is_dir & ext.isin(RULE_IMAGES), "REVIEW", 0.6, "picture"),
-        (~is_dir & (size < RULE_SMALL_BYTES), "SKIP", 0.7, "very small file"),
+        (~is_dir & ext.isin(fixed.RULE_IMAGES), "REVIEW", 0.6, "picture"),
+        (~is_dir & (size < fixed.RULE_SMALL_BYTES), "SKIP", 0.7, "very small file"),
     ])
     df = ensure_columns(df, ["recommendation", "confidence", "comment"])
     number = df.schema["confidence"].dataType

@@ -37,6 +37,7 @@ class Options:
     concurrency: int | None = None
     min_dup_bytes: int = 0
     archive_prefix: str | None = None
+    instructions: str = triage.INSTRUCTIONS
 
 
 def _lookups(spark: SparkSession, table: str, options: Options) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +122,7 @@ def rate(
     work = Work(spark, table)
     marked = duplicates.mark_duplicates(tables.read_table(spark, table))
     rows = work.stored(triage.triage_rows(marked, o.batch_size), "triage_rows")
-    prompts = triage.with_prompt(triage.assemble(rows, triage.ITEM_FIELDS))
+    prompts = triage.with_prompt(triage.assemble(rows, triage.ITEM_FIELDS), o.instructions)
     # Stored, so that no batch is sent again when a later step is retried.
     replies = work.stored(triage.score_batches(prompts, scorer, o.concurrency), "replies")
     rated = triage.apply_replies(rows, replies).drop("batch_id", "batch_pos")

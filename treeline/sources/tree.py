@@ -44,24 +44,34 @@ def _facts(path: str) -> tuple[int, str | None]:
 
 def _visit(directory: str, skip_dirs: set[str], skip_exts: set[str]) -> Iterator[tuple]:
     """Rows of one directory; sub-directories to enter come as kind "pending"."""
+    def unreadable(e: OSError) -> tuple:
+        return ("error", directory, "", 0, None, fixed.COMMENT_INACCESSIBLE + (e.strerror or str(e)))
+
     try:
         entries = os.scandir(directory)
     except OSError as e:
-        yield ("error", directory, "", 0, None, fixed.COMMENT_INACCESSIBLE + (e.strerror or str(e)))
+        yield unreadable(e)
         return
     own = os.path.basename(directory.rstrip("/")) or directory
     note = fixed.COMMENT_EXCLUDED if own in skip_dirs else None
     yield ("dir", directory, "", 0, _facts(directory)[1], note)
     with entries:
-        for entry in entries:
+        while True:
+            try:
+                entry = next(entries, None)
+            except OSError as e:  # what was listed so far stays
+                yield unreadable(e)
+                return
+            if entry is None:
+                return
             try:
-                is_dir = entry.is_dir()
+                is_dir, is_link = entry.is_dir(), entry.is_symlink()
             except OSError:
-                is_dir = False
+                is_dir = is_link = False
             if is_dir:
                 if entry.name in skip_dirs:
                     yield ("dir", entry.path, "", 0, _facts(entry.path)[1], fixed.COMMENT_EXCLUDED)
-                elif not entry.is_symlink():
+                elif not is_link:
                     yield ("pending", entry.path, "", 0, None, None)
             elif os.path.splitext(entry.name)[1].lower() not in skip_exts:
                 yield ("file", entry.path, entry.name, *_facts(entry.path), None)
@@ -105,7 +115,8 @@ def list_tree(
 
     Excluded directories get a marker row and are not entered, files with excluded
     extensions are left out, unreadable directories become REVIEW rows. `source_uri`
-    is the name the workers use, `path` its Windows form. Each round is written to
+    is the name the workers use, `path` its Windows form. A root that does not exist is
+    refused. Each round is written to
     `folder`, a new folder on shared storage.
     """
     skip_dirs = set(fixed.EXCLUDED_DIRS if exclude_dirs is None else exclude_dirs)
@@ -125,6 +136,11 @@ def list_tree(
         found = frontier.mapInPandas(walker(first_budget if step == 0 else budget), _LISTING)
         target = f"{folder}/round={step}"
         found.write.mode("overwrite").parquet(target)
+        if step == 0:
+            gone = fixed.COMMENT_INACCESSIBLE + os.strerror(errno.ENOENT)
+            missing = (F.col("kind") == "error") & (F.col("uri") == root) & (F.col("note") == gone)
+            if not spark.read.parquet(target).where(missing).isEmpty():
+                raise FileNotFoundError(root)
         pending = spark.read.parquet(target).where(F.col("kind") == "pending").select("uri")
         if pending.isEmpty():
             break
