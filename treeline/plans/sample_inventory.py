@@ -7,13 +7,12 @@ Decisions and reviews come from the labels and from rules on directory names.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.functions import paths
 from treeline.operators.inventory import with_directories
-from treeline.schema import conform
+from treeline.schema import INVENTORY, conform
 from treeline.sources.workspace import new_folder
 
 BASELINE_DRIVE = "C:"
@@ -149,12 +148,14 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("path", F.col("line_no").cast("long").alias("para_no"),
                         F.col("line").alias("text"))
 
-_KEPT: dict[tuple[str, str], DataFrame] = {}
+_KEPT: dict[tuple[str, str], str] = {}
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The rows on the executors' disks, which also ends what the optimiser looks at."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    """A table in the session's shared folder, which ends what the optimiser looks at."""
+    folder = new_folder(df.sparkSession, "kept")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def ingest(spark: SparkSession, sf_dir: str) -> str:
@@ -165,12 +166,12 @@ def ingest(spark: SparkSession, sf_dir: str) -> str:
 
 
 def conformed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inventory table, kept once per application.
+    """The inventory table, written once per application.
 
     Later phases read its narrow columns several times; the texts behind the sizes
     and hashes are read once.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _KEPT:
-        _KEPT[key] = kept(conform(inventory(spark, sf_dir)).drop("text"))
-    return _KEPT[key]
+        _KEPT[key] = ingest(spark, sf_dir)
+    return spark.read.schema(INVENTORY).parquet(_KEPT[key])
