@@ -131,6 +131,7 @@ def _encode(path: str, chunk_bytes: int):
                         [ids[x:y].tolist() for x, y in zip(cut, cut[1:])], skip_special_tokens=False)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+        encoder.rest()
     return run
 
 

@@ -12,14 +12,17 @@ import json
 import re
 import sys
 import types
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 
-from treeline.llm.words import buffer, spans_hash, words
+from treeline.llm.words import buffer, release, spans_hash, words
 
 #: Words that a worker remembers.
 CACHE_WORDS = 300_000
+#: Words that it remembers between tasks, whatever runs there next.
+RESTING_WORDS = 50_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Words of plain letters, digits and ASCII signs but the apostrophe: they have no other
 #: normal form than lower case, and they part where the kind of character changes.
@@ -87,6 +90,11 @@ class Encoder:
             cache["encoder", path] = cls(path)
         return cache["encoder", path]
 
+    def rest(self) -> None:
+        """Between tasks only the words learnt first, mostly the frequent ones, stay."""
+        self.cache = dict(islice(self.cache.items(), RESTING_WORDS))
+        release()
+
     def by_library(self, texts: list[str]) -> list[np.ndarray]:
         found = self.whole.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint32) for e in found]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from treeline.llm.graph import components
 from treeline.llm.store import lookup, parts, stored
-from treeline.llm.words import buffer, inside, lowered, mix, slices, spans_hash, window_hashes, words
+from treeline.llm.words import buffer, inside, lowered, mix, release, slices, spans_hash, window_hashes, words
 
 WIDTH = 5
 PERCENT = 80
@@ -86,7 +86,7 @@ def elements(hashes: np.ndarray, firsts: np.ndarray, tables: int, depth: int) ->
 def _sketch(width: int, tables: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in slices(whole, "text", 4 << 20):
+            for part in slices(whole, "text", 2 << 20):
                 hashes, doc = shingles(part.column("text"), width)
                 n = np.bincount(doc, minlength=part.num_rows)
                 past = np.cumsum(n)
@@ -100,6 +100,7 @@ def _sketch(width: int, tables: int, depth: int):
                     part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(digests, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys.reshape(-1).view(np.int64))),
                 ], ["doc_id", "n_shingles", "digest", "elements"])
+        release()
     return run
 
 

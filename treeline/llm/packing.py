@@ -216,6 +216,7 @@ def _cut(path: str, size: int, end_id: int):
                     pa.array(start), pa.array(length), pa.array(crc, pa.int64()),
                     pa.array(np.full(len(doc), chunk), pa.int32()), pa.array(number),
                 ], ["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "number"])
+        encoder.rest()
     return run
 
 

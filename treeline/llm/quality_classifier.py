@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.words import buffer, slices, spans_hash, words
+from treeline.llm.words import buffer, release, slices, spans_hash, words
 
 N_BUCKETS = 1 << 17
 DIM = 12
@@ -172,6 +172,7 @@ def _good(model: Model, text_col: str):
                     [pa.array(np.arange(part.num_rows)), part.column(text_col)], ["doc_id", "text"])
                 good = [p >= 0.5 for out in _scored(model)([one]) for p in out.column("score").to_pylist()]
                 yield part.filter(pa.array(good, pa.bool_()))
+        release()
     return run
 
 

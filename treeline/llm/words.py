@@ -22,6 +22,11 @@ _BASE = 0x9E3779B97F4A7C15 & ~7 | 5
 _BLOCK = 1 << 21
 
 
+def release() -> None:
+    """Give memory that a finished task no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of a batch whose texts have about `most_bytes` together."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
