@@ -8,12 +8,51 @@ notices stand on a line of their own. Everything is built-in functions.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Words that follow "copyright" or "(c)" in the sentences of licences; any other word names a holder.
+NOT_HOLDERS = """
+    a above accompany accompanies according act affirmer an and any applies apply appropriate are as at be below
+    can cannot claim claims contained contributor convey declaration disclaimer do does exists express file files
+    for from give given had has have header headers held holder holders however if in including information
+    infringement infringes interest interests is it its law laws license licensed licensee licenses line lines
+    make material may must no not notice notices of on only or other otherwise owned owner owners ownership permission
+    permissions prohibiting protected protection provide provided put right rights shall should so statement
+    statements status such term terms that the these this those to treaties treaty under unless use was we were
+    when where which will with within without work works year you your doctrines patent""".split()
+_BEYOND = "\u0080-\U0010ffff"
+
+
+def _no_word_of(words: list[str]) -> str:
+    """A pattern for a run of lower-case letters that is none of `words`, without lookahead."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def beside(node: dict, first: bool) -> str:
+        letters = sorted(x for x in node if x)
+        others = "".join(x for x in "abcdefghijklmnopqrstuvwxyz" if x not in letters)
+        ways = [x + beside(node[x], False) for x in letters] + [f"[{others}{_BEYOND}][a-z{_BEYOND}]*"]
+        return "(?:" + "|".join(ways) + (")" if first or "" in node else ")?")
+    return beside(tree, True)
+
+
+#: What may stand before the words of a line in a source file.
+_COMMENT = r"^[ \t#*/;%!<>|-]*"
+_HOLDER = rf"(?:by[ \t]+)?{_no_word_of(NOT_HOLDERS)}(?:[^a-z\n{_BEYOND}][^\n]*)?"
+_YEAR = r"[0-9\[{<][^\n]*"
 #: Lines that name a holder or year, and reservations of rights, say nothing of the licence.
-COPYRIGHT_LINES = (r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|[0-9]{4})|\(c\)|©)[^\n]*$",
-                   r"(?m)^[ \t]*all rights reserved[.]?[ \t]*$")
+#: A year or a name has to follow, so sentences of a licence stay, wherever they are wrapped.
+COPYRIGHT_LINES = (
+    rf"(?m){_COMMENT}copyright[ \t:,]*(?:(?:\(c\)|©)[^\n]*|{_YEAR})$",
+    rf"(?m){_COMMENT}(?:copyright[ \t:,]+|(?:\(c\)|©)[ \t:,]*)(?:{_YEAR}|{_HOLDER})$",
+    rf"(?m){_COMMENT}all rights reserved[.]?[ \t*/]*$")
 SIGNS = r"[^\p{L}\p{N}\n]+"
 #: Equivalent spellings, after signs have become spaces. Each pair holds on its own.
 SPELLINGS = (
@@ -21,6 +60,9 @@ SPELLINGS = (
     ("non infringement", "noninfringement"), ("merchantibility", "merchantability"),
     ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("organisation", "organization"),
     ("copyright holder s", "copyright holders"), ("https", "http"), ("version v", "version "),
+    # The same words, parted at a hyphen by the end of a line.
+    *((first + end + second, first + second) for first, second in (
+        ("sub", "license"), ("non", "commercial"), ("non", "infringement")) for end in ("\n", " \n", "\n ", " \n ")),
 )
 NO_WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS '
@@ -30,7 +72,7 @@ NO_WARRANTY = (
     "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE "
     "OF THIS SOFTWARE.")
 #: Public licence texts and the notices that refer to a licence.
-KNOWN = (
+_NOTICES = (
     ("MIT", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy "
      'of this software and associated documentation files (the "Software"), to deal in the Software '
      "without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
@@ -56,6 +98,31 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
 )
+#: Headings under which short licences are found; they are known without one too.
+HEADINGS = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD License", 'BSD 3-Clause "New" or "Revised" License'),
+    "Zlib": ("zlib License", "The zlib License"),
+}
+
+
+def _catalogue() -> tuple[tuple[str, str], ...]:
+    """The notices and the texts of `license_texts`, whose names end at an underscore."""
+    out = list(_NOTICES)
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        out.append((path.stem.split("_")[0], path.read_text(encoding="utf-8")))
+    for name, text in out[:]:
+        if name in HEADINGS and len(text) > 300:
+            for heading in HEADINGS[name]:
+                text = text.removeprefix(heading + "\n\n")
+            out += [(name, text), *((name, f"{heading}\n\n{text}") for heading in HEADINGS[name])]
+    return tuple(dict.fromkeys(out))
+
+
+KNOWN = _catalogue()
 
 
 def canonical_lines(text: Column) -> Column:
