@@ -85,3 +85,18 @@ def test_model_probabilities_add_up():
     assert cls[-1] == 2
     model = brown_lm._estimate(np.zeros(0, np.uint64), cls, n, np.ones(3), np.ones(3), 10, 3, 1)
     assert np.allclose((10.0 ** model.transition).sum(1), 1)
+
+
+def test_unseen_words_score_below_rare_known_ones(spark):
+    """Held-out texts of words that training has once each, and of junk words with their endings."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10]
+    held = [i for i in range(400) if not zlib.crc32(str(i).encode()) % 10]
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in ids]
+    clean = [(i, " ".join(f"w{ids[j * 5 + k % 5]}x{k}" for k in range(40))) for j, i in enumerate(held)]
+    junk = [(i, t.replace("w", "zq")) for i, t in clean]
+    scores = []
+    for texts in (clean, junk):
+        docs = spark.createDataFrame(rows + texts, "doc_id bigint, text string")
+        scores.append({r.doc_id: r.score for r in brown_lm.score(docs).where("held_out").collect()})
+    assert len(scores[0]) == len(held) > 20
+    assert all(scores[1][i] < scores[0][i] for i in held)
