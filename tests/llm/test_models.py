@@ -100,3 +100,13 @@ def test_unseen_words_score_below_rare_known_ones(spark):
         scores.append({r.doc_id: r.score for r in brown_lm.score(docs).where("held_out").collect()})
     assert len(scores[0]) == len(held) > 20
     assert all(scores[1][i] < scores[0][i] for i in held)
+
+
+def test_classifier_sample_skips_only_what_does_not_fit(spark):
+    rows = [(i, "x" * (5000 if i < 6 else 100), i % 2) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    for most_bytes in (4400, 1000):
+        texts, labels = quality_classifier.sample(docs, docs, F.lit(True), most_bytes=most_bytes)
+        assert [len(t) for t in texts] == [100] * (most_bytes // 100)
+        assert sum(labels) == most_bytes // 200
+    assert quality_classifier.fitting([(1, 9), (1, 4), (0, 20), (1, 5)], 10) == [1, 3]

@@ -124,13 +124,32 @@ def _scored(model: Model):
     return run
 
 
+def fitting(rows: list[tuple[int, int]], most_bytes: int) -> list[int]:
+    """Places of the rows (label, size) to take, in order: a row that does not fit is skipped alone.
+
+    Each label has half of the bytes first; what is left over goes to any row that still fits.
+    """
+    taken: dict[int, int] = {}
+    left = {0: most_bytes // 2, 1: most_bytes // 2}
+    for place, (label, size) in enumerate(rows):
+        if size <= left[label]:
+            left[label] -= size
+            taken[place] = size
+    rest = most_bytes - sum(taken.values())
+    for place, (_, size) in enumerate(rows):
+        if place not in taken and size <= rest:
+            rest -= size
+            taken[place] = size
+    return sorted(taken)
+
+
 def sample(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id",
            text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS,
            most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
     """Whole texts and labels of at most `rows` labelled rows, half of each label if there are.
 
-    Rows come in the order of a hash of their id; those behind `most_bytes` of text are
-    left out. Rows whose label is null, or that `learnable` (over labels) rejects, never count.
+    Rows come in the order of a hash of their id; only those that do not fit the rest of
+    `most_bytes` are left out, see `fitting`. Rows whose label is null, or that `learnable` (over labels) rejects, never count.
     """
     known = labels.where(learnable & F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"),
@@ -143,9 +162,8 @@ def sample(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str =
     found = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     found = found.join(F.broadcast(chosen), "_id").withColumn("_size", F.octet_length("_text"))
     found = found.dropDuplicates(["_id"])
-    sizes = sorted(found.select("_order", "_id", "_size").collect())
-    within = np.cumsum([r["_size"] for r in sizes]) <= most_bytes
-    last = [r["_id"] for r, ok in zip(sizes, within) if ok]
+    sizes = sorted(found.select("_order", "_id", "_size", "_label").collect())
+    last = [sizes[i]["_id"] for i in fitting([(r["_label"], r["_size"]) for r in sizes], most_bytes)]
     taken = sorted(found.where(F.col("_id").isin(last)).select("_order", "_id", "_text", "_label").collect()
                    if len(last) < len(sizes) else
                    found.select("_order", "_id", "_text", "_label").collect())
