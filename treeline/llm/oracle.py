@@ -118,5 +118,48 @@ kept AS (SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.p) AS t, count(*
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
        sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+""",
+    "op12_source_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT doc, lang, source, unnest(ws) AS item FROM d),
+kept AS (SELECT lang, item, count(*) AS c FROM w GROUP BY 1, 2 HAVING count(DISTINCT doc) >= 30),
+size AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY 1),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT lang, source, item, count(*) AS c FROM w SEMI JOIN kept USING (lang, item) GROUP BY ALL),
+tot AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM grp g LEFT JOIN cnt USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT tot.lang, tot.source, kept.item, coalesce(cnt.c, 0) AS c,
+             1 + (1000000000 * (coalesce(cnt.c, 0) + 5)::HUGEINT) // (tot.n + 5 * size.v) AS p,
+             1 + (1000000000 * (kept.c + 5)::HUGEINT) // (size.n + 5 * size.v) AS q
+      FROM tot JOIN size ON tot.lang = size.lang JOIN kept ON kept.lang = tot.lang
+      LEFT JOIN cnt ON cnt.lang = tot.lang AND cnt.source = tot.source AND cnt.item = kept.item),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(f, 0) AS value
+         FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN (SELECT x.lang, x.source AS s, y.source AS t, sum(abs(x.p - y.p)) AS f
+                    FROM p x JOIN p y ON x.lang = y.lang AND x.item = y.item GROUP BY 1, 2, 3) f
+           ON f.lang = a.lang AND s = a.source AND t = b.source),
+term AS (SELECT lang, source, item, p - q AS value FROM p WHERE c > 0 AND p > q),
+every AS (SELECT lang, source, 'pair' AS part, item, value FROM pair
+          UNION ALL SELECT lang, source, 'term', item, value FROM term)
+SELECT lang, source, part, item, value::BIGINT AS value,
+       (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM every QUALIFY part = 'pair' OR rank <= 50
+""",
+    "op13_hard_negatives": """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor, a.label = b.label AS same, b.id,
+             list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS score
+      FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT * FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5)
+SELECT p.anchor AS anchor_id, p.id AS positive_id,
+       (row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id))::INTEGER AS rank,
+       s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same
+  AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10
 """,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import brown_lm, licenses, quality_classifier, warc
+from treeline.llm import brown_lm, divergence, hard_negatives, licenses, quality_classifier, warc
 from treeline.llm.bpe_reuse import encode_decode
 from treeline.llm.exact_dedup import exact_groups
 from treeline.llm.near_dedup import near_groups
@@ -74,5 +74,16 @@ def op10_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0, label=label)
+
+
 QUERIES = [op1_quality_classifier, op2_brown_lm, op3_near_dedup, op4_warc, op5_exact_dedup, op6_quality_rules,
-           op7_substring_dedup, op8_license_scan, op9_best_fit_packing, op10_bpe_reuse]
+           op7_substring_dedup, op8_license_scan, op9_best_fit_packing, op10_bpe_reuse,
+           op12_source_divergence, op13_hard_negatives]
