@@ -118,6 +118,28 @@ kept AS (SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.p) AS t, count(*
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
        sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+""",
+    "op11_suffix_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n
+           FROM documents),
+spot AS (SELECT doc_id, b, unnest(range(1, n - 98)) AS p FROM d WHERE n >= 100),
+late AS (SELECT doc_id, p FROM (SELECT doc_id, p, sha256(b[p:p + 99]) AS h FROM spot)
+         QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1),
+mark AS (SELECT doc_id, p, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -100) + 100 AS head
+         FROM late),
+run AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z
+        FROM (SELECT *, sum(head::INTEGER) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM mark)
+        GROUP BY doc_id, g),
+edge AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS a, a AS z FROM run
+         UNION ALL SELECT run.doc_id, max(z), any_value(n) + 1 FROM run JOIN d ON d.doc_id = run.doc_id
+         GROUP BY run.doc_id),
+kept AS (SELECT edge.doc_id, unhex(coalesce(string_agg(hex(b[edge.a:edge.z - 1]), '' ORDER BY edge.a)
+                                              FILTER (edge.z > edge.a), '')) AS k
+         FROM edge JOIN d ON d.doc_id = edge.doc_id GROUP BY edge.doc_id),
+gone AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM run GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN gone.doc_id IS NULL THEN b ELSE k END) AS kept_sha256
+FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
 """,
     "op12_source_divergence": rf"""
 WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,

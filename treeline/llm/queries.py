@@ -13,6 +13,7 @@ from treeline.llm.packing import pack
 from treeline.llm.quality_rules import cascade
 from treeline.llm.store import remainder
 from treeline.llm.substring_dedup import remove_repeats
+from treeline.llm.suffix_dedup import remove_repeated_bytes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,12 @@ def op10_bpe_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(_documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_documents(spark, sf_dir))
 
@@ -86,4 +93,4 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [op1_quality_classifier, op2_brown_lm, op3_near_dedup, op4_warc, op5_exact_dedup, op6_quality_rules,
            op7_substring_dedup, op8_license_scan, op9_best_fit_packing, op10_bpe_reuse,
-           op12_source_divergence, op13_hard_negatives]
+           op11_suffix_dedup, op12_source_divergence, op13_hard_negatives]
