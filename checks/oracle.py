@@ -583,4 +583,10 @@ FROM inv GROUP BY drive_id, path""", *BASE),
     "unfenced_replies": query("""
 SELECT row_seq, md5(trim(text, concat(' ', chr(9), chr(10), chr(13)))) AS body_md5
 FROM files WHERE drive_id <> 'F:'""", FILES),
+    "csv_records": """
+SELECT doc_id, lang, CASE WHEN doc_id % 2 = 1 THEN 'x' || chr(10) END AS more,
+       CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS half,
+       length('"' || text || ',"' || chr(10)) AS n_chars, md5('"' || text || ',"' || chr(10)) AS comment_md5
+FROM documents
+""",
 }

@@ -11,6 +11,7 @@ from treeline.operators import (
     content, deletion, duplicates, hierarchy, inventory, organize, recovery, reports, triage,
 )
 from treeline.plans import sample_inventory as sample
+from treeline.sources import tables
 from treeline.sources.workspace import new_folder
 from treeline.streaming import arrivals
 
@@ -360,6 +361,22 @@ def unfenced_replies(spark: SparkSession, d: str) -> DataFrame:
         "row_seq", F.md5(replies.unfenced(fenced)).alias("body_md5"))
 
 
+def csv_records(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents written as CSV in two column orders and read back as records."""
+    folder = new_folder(spark, "csv")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(
+        F.col("doc_id").cast("string").alias("path"), F.concat(F.lit('"'), "text", F.lit(',"\n')).alias("comment"), "lang")
+    halves = {"even": docs.where("path % 2 = 0"),
+              "odd": docs.where("path % 2 = 1").select("lang", F.lit("x\n").alias("more"), "comment", "path")}
+    for name, half in halves.items():
+        tables.write_csv(half, f"{folder}/{name}")
+    rows = tables.read_csv(spark, [f"{folder}/{name}" for name in halves], ["path", "comment", "lang", "more"])
+    return rows.select(
+        F.col("path").cast("long").alias("doc_id"), "lang", "more",
+        F.regexp_extract("source_csv", "[a-z]+$", 0).alias("half"),
+        F.length("comment").cast("long").alias("n_chars"), F.md5("comment").alias("comment_md5"))
+
+
 def incremental_inventory(spark: SparkSession, d: str) -> DataFrame:
     """The whole inventory arriving as a stream of three drops, by ranges of row_seq."""
     folder, inv = new_folder(spark, "arrivals"), sample.conformed(spark, d)
@@ -406,5 +423,5 @@ QUERIES = [
     organize_eligible, organize_payloads, apply_assignments, rule_targets, copy_plan,
     copy_verify, copy_counts, kept_registry_rows, status_fold, duplicates_report,
     report_totals, review_shortlist, blank_values, unfenced_replies, incremental_inventory,
-    rate_fold, summary_fold,
+    rate_fold, summary_fold, csv_records,
 ]

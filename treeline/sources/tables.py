@@ -10,6 +10,7 @@ from treeline.operators.deletion import manifest_name
 from treeline.schema import (
     INVENTORY, MANIFEST_COLUMNS, REGISTRY, REPORT_COLUMNS, conform, text_schema,
 )
+from treeline.sources import records
 
 # Quotes are doubled, values keep their spaces, and empty text stays empty.
 CSV = {
@@ -18,39 +19,23 @@ CSV = {
 }
 
 
-def read_csv(
-    spark: SparkSession, files: str | list[str], columns: list[str], *, multi_line: bool = True
-) -> DataFrame:
+def read_csv(spark: SparkSession, files: str | list[str], columns: list[str]) -> DataFrame:
     """The named columns of CSV files as text, with source_csv and row_seq.
 
-    Columns are matched by the header of each file; one that a file lacks is null.
-    row_seq grows in file order; store the result before using it as a row number.
-    Cells may hold line breaks; files known to have none can be split with
-    `multi_line=False`.
+    Columns are matched by the header of each file; one that a file lacks is null. Cells may
+    hold line breaks. Large files are read in as many tasks as they have blocks, and many
+    files in the same few jobs; row_seq numbers the rows in the order of the files.
     """
     sources = [files] if isinstance(files, str) else list(files)
     if not sources:
         raise ValueError("At least one CSV path is required")
-    frames = []
-    for source in sources:
-        raw = spark.read.options(**CSV, multiLine=multi_line).csv(source)
-        frames.append(raw.select(
-            *[(F.col(f"`{c}`") if c in raw.columns else F.lit(None)).cast("string").alias(c)
-              for c in columns],
-            F.lit(source).alias("source_csv")))
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    # Numbered once over all files: partitions of a union stand in the order of its parts.
-    return out.withColumn("row_seq", F.monotonically_increasing_id())
-
-
-def read_inventory_csv(
-    spark: SparkSession, files: str | list[str], *, multi_line: bool = True
-) -> DataFrame:
+    return records.cells(spark, sources, columns, CSV)
+
+
+def read_inventory_csv(spark: SparkSession, files: str | list[str]) -> DataFrame:
     """CSV inventories in canonical form; the drive is taken from the path."""
     names = [f.name for f in text_schema()]
-    raw = read_csv(spark, files, names, multi_line=multi_line)
+    raw = read_csv(spark, files, names)
     return conform(raw.where(F.col("path").isNotNull()).withColumn(
         "drive_id", paths.drive(F.col("path"))), from_csv=True)
 
