@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from treeline.operators import content, organize, recovery, reports
 from treeline.schema import REPORT_COLUMNS, conform
+from treeline.sources import ledger
 
 
 def test_pdf_rule(spark):
@@ -46,7 +47,7 @@ def test_bad_bytes_become_text(spark):
     assert df.select(content.utf8_text(F.col("content"))).first()[0] == "ok\ufffd!"
 
 
-def test_summaries_and_errors(spark):
+def test_summaries_and_errors(spark, tmp_path):
     def summarizer(kind, text):
         if text == "boom":
             raise ValueError("no model")
@@ -54,12 +55,70 @@ def test_summaries_and_errors(spark):
 
     rows = [("a", "text", "w " * 50), ("b", "error", "locked"), ("c", "text", "boom"),
             ("d", "image_b64", "w " * 50)]
-    df = spark.createDataFrame(rows, "path string, kind string, content string")
-    out = {r.path: r.summary for r in content.summarize(df, summarizer, 10).collect()}
+    df = content.cut_content(spark.createDataFrame(rows, "path string, kind string, content string"), 10)
+    asked = ledger.ask_all(df, str(tmp_path / "calls"), content.summary_answer(summarizer), ["kind", "content"])
+    text = content.summary_text(*(F.col(c) for c in ("kind", "content", "reply", "error")))
+    out = {r.path: r.s for r in asked.select("path", text.alias("s")).collect()}
     assert out == {"a": "text: 10 words", "b": "UNREADABLE: locked", "c": "LLM_ERROR: no model",
                    "d": "image_b64: 50 words"}
 
 
+def _files(spark, tmp_path, routes):
+    rows = []
+    for i, (name, route) in enumerate(routes.items()):
+        (tmp_path / name).write_bytes(b"raw " + name.encode())
+        rows.append(("D:", f"D:\\{name}", route, str(tmp_path / name), None))
+    return spark.createDataFrame(
+        rows, "drive_id string, path string, route string, uri string, pdf_complexity string").repartition(3)
+
+
+def test_pieces_of_a_decoder(spark, tmp_path):
+    """PDFs with text, images, little text, no pages and a break halfway; sheets, paragraphs, images."""
+    P = content.Piece
+
+    def decoder(route, uri):
+        name = os.path.basename(uri)
+        if name == "missing.docx":
+            raise ValueError("no such part")
+        yield from {
+            "text.pdf": [P("page", i, "x " * 150) for i in range(3)],
+            "chart.pdf": [P("page", 0, "word " * 200, n_images=1)],
+            "sparse.pdf": [P("page", i, "a b c d e") for i in range(2)],
+            "empty.pdf": [], "broken.pdf": [P("page", 0, "x" * 500)],
+            "known.pdf": [P("page", 0, "x" * 500, n_images=2)],
+            "book.xlsx": [P("row", i, f"r{i}" if i % 2 else " ", sheet_no=0, sheet="One") for i in range(60)]
+            + [P("row", 0, "z", sheet_no=1, sheet="Two")],
+            "doc.docx": [P("paragraph", 1, "second"), P("paragraph", 0, "first"), P("paragraph", 2, " ")],
+            "pic.jpg": [P("image", data=b"\x01\x02")],
+        }[name]
+        if name == "broken.pdf":
+            raise OSError("page 2 is damaged")
+
+    routes = {"text.pdf": "pdf", "chart.pdf": "pdf", "sparse.pdf": "pdf", "empty.pdf": "pdf", "broken.pdf": "pdf",
+              "known.pdf": "pdf", "book.xlsx": "xlsx", "doc.docx": "docx", "missing.docx": "docx", "pic.jpg": "image",
+              "a.txt": "text", "b.odd": "text_attempt"}
+    files = _files(spark, tmp_path, routes).withColumn(
+        "pdf_complexity", F.when(F.col("path").endswith("known.pdf"), " Simple"))
+    os.remove(tmp_path / "b.odd")
+    pieces = content.decode_pieces(files, decoder, frame_bytes=700)
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and plan.count("MapInArrow") == 1
+    facts = content.pdf_facts(files, pieces)
+    name = F.substring_index("path", "\\", -1)
+    known = {r.n: (r.n_pages, r.is_complex) for r in facts.select(name.alias("n"), "*").collect()}
+    assert known == {"text.pdf": (3, False), "chart.pdf": (1, True), "sparse.pdf": (2, True), "empty.pdf": (0, False),
+                     "known.pdf": (1, False)}
+    out = {r.n: (r.kind, r.content) for r in content.file_contents(files, pieces, facts).select(
+        name.alias("n"), "kind", "content").collect()}
+    assert out["text.pdf"] == ("text", "\n".join(["x " * 150] * 3)) and out["chart.pdf"][0] == "complex_pdf"
+    assert out["sparse.pdf"] == ("complex_pdf", "a b c d e\na b c d e") and out["empty.pdf"] == ("text", "")
+    assert out["broken.pdf"] == ("error", "page 2 is damaged") and out["missing.docx"] == ("error", "no such part")
+    assert out["book.xlsx"][1].split("\n")[:3] == ["Sheet: One", "r1", "r3"] and out["book.xlsx"][1].endswith("Sheet: Two\nz")
+    assert out["doc.docx"] == ("text", "first\nsecond") and out["pic.jpg"] == ("image_b64", "AQI=")
+    assert out["a.txt"] == ("text", "raw a.txt") and out["b.odd"][0] == "error" and "No such file" in out["b.odd"][1]
+    assert len(out) == len(routes)
+
+
 def test_taxonomy_merges_in_rounds(spark, tmp_path):
     batches = spark.createDataFrame(
         [("D:", i, 1, f"[{i}]") for i in range(45)], "drive_id string, batch_id long, n_rows long, items string")
@@ -99,6 +158,14 @@ def test_the_last_batch_decides_between_two_that_name_a_path(spark):
     assert organize.apply_assignments(df, df, proposed).first().organized_path == "last"
 
 
+def test_assignments_of_two_drives_with_one_path(spark):
+    df = spark.createDataFrame([("D:", "a", None), ("E:", "a", "kept")], "drive_id string, path string, organized_path string")
+    proposed = spark.createDataFrame(
+        [("D:", "a", "new", 0)], "drive_id string, original_path string, organized_path string, position int")
+    out = {r.drive_id: (r.organized_path, r.assigned) for r in organize.apply_assignments(df, df, proposed).collect()}
+    assert out == {"D:": ("new", True), "E:": ("kept", False)}
+
+
 def test_assignments(spark):
     df = spark.createDataFrame([("a", "old"), ("b", None), ("c", "x")], "path string, organized_path string")
     proposed = spark.createDataFrame(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions.replies import parse_items, usable
 from treeline.operators import batches, duplicates, triage
+from treeline.sources import ledger
 from treeline.schema import conform
 
 
@@ -105,7 +106,7 @@ def inventory(spark, n=25):
         " is_dir boolean, size_bytes long"))
 
 
-def test_scoring_with_retry_fallback_and_missing_items(spark):
+def test_scoring_with_retry_fallback_and_missing_items(spark, tmp_path):
     def scorer(prompt):
         items = json.loads(prompt.split("Items:\n")[1].split("\n\n")[0])
         first = items[0]["path"]
@@ -120,7 +121,8 @@ def test_scoring_with_retry_fallback_and_missing_items(spark):
 
     rows = triage.triage_rows(inventory(spark), 5)
     prompts = triage.with_prompt(batches.assemble(rows, triage.ITEM_FIELDS))
-    replies = triage.score_batches(prompts, scorer, concurrency=2)
+    replies = ledger.ask_all(prompts, str(tmp_path / "calls"), triage.triage_answer(scorer), ["prompt"], concurrency=2)
+    replies = replies.select("drive_id", "batch_id", "reply", "error")
     out = {r.filename: r for r in triage.apply_replies(rows, replies).collect()}
     assert len(out) == 25
     assert out["f0.txt"].comment == "again" and out["f1.txt"].recommendation == "INTERESTING"

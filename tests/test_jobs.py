@@ -5,11 +5,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from treeline.operators import content, inventory
+from treeline.operators import content, duplicates, inventory
 from treeline.operators.batches import number_batches
 from treeline.plans import jobs
 from treeline.schema import conform
-from treeline.sources import tables, tree
+from treeline.sources import ledger, tables, tree
 from treeline.sources.workspace import Work, clear_work, new_folder
 
 OPTIONS = jobs.Options(exclude_dirs=["AppData", "$RECYCLE.BIN"], exclude_extensions=[".exe", ".DLL"])
@@ -208,10 +208,10 @@ def test_rate_summarise_organise_copy(spark, tmp_path):
         "path string, review string, decision string")
     tables.write_table(jobs.apply_edits(tables.read_table(spark, table), edits), table)
 
-    def decoder(route, data):
+    def decoder(route, uri):
         if route == "docx":
             raise ValueError("broken file")
-        return "page one\fpage two\f"
+        return [content.Piece("page", 0, "page one"), content.Piece("page", 1, "page two")]
 
     jobs.summarize(spark, table, decoder, lambda kind, text: f"{kind}|{text}", OPTIONS)
     got = by_name(tables.read_table(spark, table))
@@ -220,11 +220,11 @@ def test_rate_summarise_organise_copy(spark, tmp_path):
     assert got["scan.pdf"].summary.startswith("complex_pdf|page one\npage two")
     assert got["scan.pdf"].pdf_complexity == "complex" and got["docs"].summary is None
 
-    taxonomy = jobs.organise(
+    organised = jobs.organise(
         spark, table, lambda p: "Stuff", lambda p: "Stuff",
         lambda p: json.dumps([dict(original_path=i["path"], organized_path="Stuff/" + i["filename"])
                               for i in json.loads(p.split("Files:\n")[1])]))
-    assert taxonomy == "Stuff"
+    assert organised.taxonomy == "Stuff" and organised.assigned > 3
     registry = str(tmp_path / "registry")
     counts = jobs.copy(spark, table, str(tmp_path / "out"), jobs.Options(registry=registry)).first()
     names = {r for r in os.listdir(tmp_path / "out" / "Stuff")}
@@ -237,6 +237,85 @@ def test_rate_summarise_organise_copy(spark, tmp_path):
     assert found == {"review": "True", "decision": "KEEP"}
 
 
+def test_a_job_that_dies_asks_again_only_what_is_open(spark, tmp_path):
+    """The scorer dies in the middle; the rerun makes no call whose reply is there."""
+    table, log = str(tmp_path / "t"), tmp_path / "log"
+    log.mkdir()
+    rows = [("D:", i, f"D:\\f{i}.txt", f"f{i}.txt", None, None) for i in range(40)]
+    tables.write_table(_rows(spark, rows), table)
+
+    def scorer(prompt):
+        items = json.loads(prompt.split("Items:\n")[1])
+        (log / f"{items[0]['filename']}_{len(os.listdir(log))}_{os.getpid()}").write_text("")
+        if (tmp_path / "down").exists() and items[0]["path"].endswith(("f16.txt", "f32.txt")):
+            os._exit(3)  # the worker dies, and so does the job
+        return json.dumps([dict(path=i["path"], recommendation="SKIP", confidence=1, comment="") for i in items])
+
+    options = jobs.Options(batch_size=4, wave=3)
+    (tmp_path / "down").write_text("")
+    with pytest.raises(Exception):
+        jobs.rate(spark, table, scorer, options)
+    known = ledger.read_ledger(spark, table + "_calls").where("reply is not null").count()
+    assert 0 < known < 10 and tables.read_table(spark, table).where("recommendation = 'SKIP'").count() == 0
+    (tmp_path / "down").unlink()
+    before = len(os.listdir(log))
+    jobs.rate(spark, table, scorer, options)
+    assert len(os.listdir(log)) - before == 10 - known
+    assert tables.read_table(spark, table).where("recommendation = 'SKIP'").count() == 40
+
+
+def test_two_drives_with_one_path_keep_their_own(spark, tmp_path):
+    table = str(tmp_path / "t")
+    for name, text in (("d", "of d"), ("e", "of e")):
+        (tmp_path / name).write_text(text)
+    rows = [("D:", 1, "\\x.txt", ".txt", str(tmp_path / "d"), "True"), ("E:", 2, "\\x.txt", ".txt", str(tmp_path / "e"), "True"),
+            ("E:", 3, "\\x.txt", ".pdf", str(tmp_path / "none"), "True")]
+    tables.write_table(conform(spark.createDataFrame(
+        rows, "drive_id string, row_seq bigint, path string, extension string, source_uri string, review string")), table)
+    edits = spark.createDataFrame([("E:", "\\x.txt", None, "KEEP", 1), ("E:", "\\x.txt", None, "ARCHIVE", 2)],
+                                  "drive_id string, path string, review string, decision string, at int")
+    edited = jobs.apply_edits(tables.read_table(spark, table), edits, "at")
+    assert sorted((r.drive_id, r.decision) for r in edited.collect()) == [("D:", None), ("E:", "ARCHIVE"), ("E:", "ARCHIVE")]
+    jobs.summarize(spark, table, lambda r, u: [], lambda kind, text: text)
+    assert {(r.drive_id, r.summary) for r in tables.read_table(spark, table).collect()} == {("D:", "of d"), ("E:", "of e")}
+
+
+def test_the_registry_takes_a_run_once_and_knows_the_last(spark, tmp_path):
+    folder, day = str(tmp_path / "registry"), "2024-01-01T00:00:00"
+    names = "md5_hash string, original_path string, organized_path string, drive string, date_copied string"
+
+    def rows(*found):
+        return spark.createDataFrame([(h, p, f"to/{p}", None, day) for h, p in found], names)
+
+    tables.append_registry(rows(("h", "z"), ("g", "y")), folder, "one")
+    tables.append_registry(rows(("h", "a")), folder, "two")
+    tables.append_registry(rows(("h", "a"), ("k", "new")), folder, "two")  # an attempt that got further
+    tables.append_registry(rows(("h", "a"), ("k", "new")), folder, "two")
+    (tmp_path / "registry" / "append_no=9").mkdir()  # broke off
+    read = tables.read_registry(spark, folder)
+    assert sorted((r.append_no, r.md5_hash, r.original_path) for r in read.collect()) == [
+        (1, "g", "y"), (1, "h", "z"), (2, "h", "a"), (3, "k", "new")]
+    last = duplicates.registry_hashes(read.withColumn("at", F.struct("append_no", "row_no")), "at")
+    assert {r.md5_hash: r.kept_path for r in last.collect()} == {"h": "a", "g": "y", "k": "new"}
+
+
+def test_a_copy_that_died_before_its_status_was_written_is_repeated_once(spark, tmp_path, monkeypatch):
+    root, table, registry = tmp_path / "drive", str(tmp_path / "t"), str(tmp_path / "registry")
+    make_tree(root)
+    jobs.scan(spark, str(root), table, jobs.Options(drive="M:"))
+    df = tables.read_table(spark, table)
+    assert {r.drive_id for r in df.collect()} == {"M:"}
+    tables.write_table(df.withColumns({"decision": F.lit("KEEP"), "organized_path": F.col("filename")}), table)
+    write_table = tables.write_table
+    monkeypatch.setattr(tables, "write_table", lambda *a: (_ for _ in ()).throw(OSError("full")))
+    with pytest.raises(OSError):
+        jobs.copy(spark, table, str(tmp_path / "out"), jobs.Options(registry=registry))
+    n = tables.read_registry(spark, registry).count()
+    monkeypatch.setattr(tables, "write_table", write_table)
+    jobs.copy(spark, table, str(tmp_path / "out"), jobs.Options(registry=registry))
+    assert n == tables.read_registry(spark, registry).count() > 3
+
+
 def test_workspace_follows_the_session(spark):
     class Conf:
         @staticmethod

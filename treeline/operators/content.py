@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -23,6 +25,28 @@ SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 Summarizer = Callable[[str, str], str]
 
+# Bytes of pieces that a task holds before it sends them on.
+FRAME_BYTES = 4 << 20
+
+
+class Piece(NamedTuple):
+    """A part of a file: a `page`, a sheet `row`, a `paragraph`, the `text` or the bytes of an `image`."""
+
+    kind: str
+    no: int = 0
+    text: str | None = None
+    n_images: int = 0
+    sheet_no: int = 0
+    sheet: str = ""
+    data: bytes | None = None
+
+
+#: The parts of a file, given its route and its place, in any order.
+Decoder = Callable[[str, str], Iterable[Piece]]
+PIECES = ("drive_id string, path string, kind string, no bigint, text string, n_images bigint, "
+          "sheet_no bigint, sheet string, data binary")
+KEY = ["drive_id", "path"]
+
 
 def content_route(ext: Column) -> Column:
     """Reader for an extension: docx, pdf, xlsx, image or text (also if unknown)."""
@@ -72,20 +96,22 @@ def join_pieces(pieces: DataFrame, keys: list[str], position: str, text: str) ->
     return sections.groupBy(*keys).agg(ordered("_section", "_text").alias("content"))
 
 
-def pdf_content(pages: DataFrame) -> DataFrame:
+def pdf_content(pages: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(path, content): the non-empty page texts of each PDF in page order."""
-    return join_pieces(pages.where(F.col("text") != ""), ["path"], "page_no", "text")
+    return join_pieces(pages.where(F.col("text") != ""), keys or ["path"], "page_no", "text")
 
 
-def pdf_complexity(pages: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def pdf_complexity(
+    pages: DataFrame, known: DataFrame | None = None, keys: list[str] | None = None
+) -> DataFrame:
     """(path, n_pages, total_chars, has_images, sparse, is_complex) per PDF.
 
     Complex: an image on any page, or fewer than 100 characters per page on average.
     `known` (path, pdf_complexity) replaces the image test where it is complex or
     simple; sparseness is always taken from the text. No pages means simple.
     """
-    real = F.col("page_no").isNotNull()
-    facts = pages.groupBy("path").agg(
+    on, real = keys or ["path"], F.col("page_no").isNotNull()
+    facts = pages.groupBy(*on).agg(
         F.count_if(real).alias("n_pages"),
         F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("total_chars"),
         F.coalesce(F.bool_or(F.col("n_images") > 0), F.lit(False)).alias("has_images"),
@@ -96,45 +122,50 @@ def pdf_complexity(pages: DataFrame, known: DataFrame | None = None) -> DataFram
     facts = facts.withColumn("sparse", sparse)
     if known is None:
         return facts.withColumn("is_complex", F.col("has_images") | F.col("sparse"))
-    cached = known.select("path", lower_value(F.col("pdf_complexity")).alias("_known"))
+    cached = known.select(*on, lower_value(F.col("pdf_complexity")).alias("_known"))
     stated = F.when(F.col("_known") == "complex", True).when(F.col("_known") == "simple", False)
-    return facts.join(cached, "path", "left").withColumn(
+    return facts.join(cached, on, "left").withColumn(
         "is_complex", F.coalesce(stated, F.col("has_images")) | F.col("sparse")).drop("_known")
 
 
-def fill_pdf_complexity(df: DataFrame, facts: DataFrame) -> DataFrame:
+def fill_pdf_complexity(df: DataFrame, facts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Write complex / simple into .pdf rows without a value and with page facts."""
-    df = ensure_columns(df, ["pdf_complexity"])
-    flags = facts.select("path", F.col("is_complex").alias("_complex"))
+    df, on = ensure_columns(df, ["pdf_complexity"]), keys or ["path"]
+    flags = facts.select(*on, F.col("is_complex").alias("_complex"))
     empty = (F.lower("extension") == ".pdf") & blank(F.col("pdf_complexity"))
     found = F.when(F.col("_complex"), "complex").when(~F.col("_complex"), "simple")
-    return df.join(flags, "path", "left").withColumn(
+    return df.join(flags, on, "left").withColumn(
         "pdf_complexity",
         F.when(empty & F.col("_complex").isNotNull(), found).otherwise(F.col("pdf_complexity")),
     ).select(*df.columns)
 
 
-def sheet_preview(cells: DataFrame, cap: int = fixed.SHEET_ROW_CAP) -> DataFrame:
+def sheet_preview(
+    cells: DataFrame, cap: int = fixed.SHEET_ROW_CAP, keys: list[str] | None = None
+) -> DataFrame:
     """First `cap` rows with any text of every sheet, in row order."""
-    first = Window.partitionBy("path", "sheet").orderBy("row_no")
+    first = Window.partitionBy(*(keys or ["path"]), "sheet").orderBy("row_no")
     return cells.where(~blank(F.col("line"))).withColumn(
         "shown", F.row_number().over(first)).where(F.col("shown") <= cap)
 
 
-def sheet_content(cells: DataFrame, cap: int = fixed.SHEET_ROW_CAP) -> DataFrame:
+def sheet_content(
+    cells: DataFrame, cap: int = fixed.SHEET_ROW_CAP, keys: list[str] | None = None
+) -> DataFrame:
     """(path, content): per workbook each sheet's title line and its first rows."""
-    shown = sheet_preview(cells, cap).select("path", "sheet_no", "sheet", "shown", "line")
-    titles = cells.select("path", "sheet_no", "sheet").distinct().select(
-        "path", "sheet_no", "sheet", F.lit(0).alias("shown"),
+    on = keys or ["path"]
+    shown = sheet_preview(cells, cap, on).select(*on, "sheet_no", "sheet", "shown", "line")
+    titles = cells.select(*on, "sheet_no", "sheet").distinct().select(
+        *on, "sheet_no", "sheet", F.lit(0).alias("shown"),
         F.concat(F.lit("Sheet: "), F.col("sheet")).alias("line"))
     lines = shown.unionByName(titles).withColumn(
         "_at", F.col("sheet_no") * (cap + 1) + F.col("shown"))
-    return join_pieces(lines, ["path"], "_at", "line")
+    return join_pieces(lines, on, "_at", "line")
 
 
-def paragraph_content(paragraphs: DataFrame) -> DataFrame:
+def paragraph_content(paragraphs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(path, content): the paragraphs with text of each document in order."""
-    return join_pieces(paragraphs.where(~blank(F.col("text"))), ["path"], "para_no", "text")
+    return join_pieces(paragraphs.where(~blank(F.col("text"))), keys or ["path"], "para_no", "text")
 
 
 def summarize_eligible(
@@ -149,58 +180,109 @@ def summarize_eligible(
     return resolved.where(wanted & ~deleted & blank(F.col("summary")) & ~is_dir)
 
 
-def extract_content(
-    files: DataFrame, decoder: Callable[[str, bytes], str], batch_rows: int = 16
-) -> DataFrame:
-    """(path, kind, content) through a caller-supplied decoder for binary formats.
+def decode_pieces(files: DataFrame, decoder: Decoder, frame_bytes: int = FRAME_BYTES) -> DataFrame:
+    """The pieces of (drive_id, path, route, uri), one row each; see Piece.
 
-    `files` holds (path, route, content bytes). The decoder gets the route and the
-    bytes; what it raises becomes kind "error" with the message as content.
+    The file is opened in the task that sends its pieces, and pieces go on in frames of
+    about `frame_bytes`: no file's bytes are stored or moved as a whole. Text routes are read
+    here, the others by `decoder`. A file that raises has a piece of kind `error`,
+    with the message as text, behind those that came before it. A repeated task gives the same
+    pieces if the decoder does.
     """
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            kinds, texts = [], []
-            for route, data in zip(frame["route"], frame["content"]):
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(),
+             pa.string(), pa.binary()]
+    names = [c.split()[0] for c in PIECES.split(", ")]
+
+    def of(route: str, uri: str) -> Iterable[Piece]:
+        if route in ("text", "text_attempt"):
+            with open(uri, "rb") as f:
+                return [Piece("text", data=f.read())]
+        return decoder(route, uri)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for drive, path, route, uri in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 try:
-                    texts.append(decoder(route, bytes(data)))
-                    kinds.append("image_b64" if route == "image" else "text")
-                except Exception as e:
-                    texts.append(str(e))
-                    kinds.append("error")
-            yield pd.DataFrame({"path": frame["path"], "kind": kinds, "content": texts})
+                    for piece in of(route, uri):
+                        rows.append((drive, path, *piece))
+                        size += len(piece.text or "") + len(piece.data or b"")
+                        if size >= frame_bytes:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                            rows, size = [], 0
+                except Exception as e:  # whatever a decoder raises is that file's outcome
+                    rows.append((drive, path, *Piece("error", text=str(e))))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return files.select("path", "route", "content").mapInPandas(
-        run, "path string, kind string, content string")
+    return files.select(*KEY, "route", "uri").mapInArrow(run, PIECES)
 
 
-def summarize(
-    contents: DataFrame, summarizer: Summarizer, max_words: int = fixed.DEFAULT_MAX_WORDS,
-    concurrency: int | None = None,
-) -> DataFrame:
-    """(path, summary, kind) for rows of (path, kind, content).
+def pdf_facts(files: DataFrame, pieces: DataFrame) -> DataFrame:
+    """pdf_complexity of the PDFs that could be read; one without pages is simple.
 
-    Kinds text and complex_pdf are cut to `max_words`; an error row is not sent.
+    files: drive_id, path, route, pdf_complexity.
     """
-    cut = F.when(F.col("kind").isin("text", "complex_pdf"),
-                 truncate_words(F.col("content"), max_words)).otherwise(F.col("content"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for kind, text in zip(frame["kind"], frame["content"]):
-                if kind == "error":
-                    out.append(fixed.SUMMARY_UNREADABLE + (text or ""))
-                    continue
-                try:
-                    out.append(summarizer(kind, text).strip())
-                except Exception as e:
-                    out.append(fixed.SUMMARY_ERROR + str(e))
-            yield pd.DataFrame({"path": frame["path"], "summary": out, "kind": frame["kind"]})
-
-    ready = contents.select("path", "kind", cut.alias("content"))
-    if concurrency:
-        ready = ready.repartition(concurrency, "path")
-    return ready.mapInPandas(run, "path string, summary string, kind string")
+    failed = pieces.where(F.col("kind") == "error").select(*KEY)
+    pdf = files.where(F.col("route") == "pdf").join(failed, KEY, "left_anti").select(*KEY, "pdf_complexity")
+    pages = pieces.where(F.col("kind") == "page").select(*KEY, F.col("no").alias("page_no"), "text", "n_images")
+    every = pdf.select(*KEY).join(pages, KEY, "left")
+    return pdf_complexity(every, pdf, KEY)
+
+
+def file_contents(files: DataFrame, pieces: DataFrame, facts: DataFrame) -> DataFrame:
+    """(drive_id, path, kind, content) of every file: what a summariser is given.
+
+    Kinds are text, complex_pdf, image_b64 and error. A file without pieces has an empty text. `facts` is
+    the result of pdf_facts; files is unique by drive_id and path.
+    """
+    kind = F.col("kind")
+    failed = pieces.where(kind == "error").groupBy(*KEY).agg(F.min("text").alias("content"))
+    texts = [
+        pdf_content(pieces.where(kind == "page").withColumn("page_no", F.col("no")), KEY),
+        sheet_content(pieces.where(kind == "row").withColumns(
+            {"row_no": F.col("no"), "line": F.col("text")}), keys=KEY),
+        paragraph_content(pieces.where(kind == "paragraph").withColumn("para_no", F.col("no")), KEY),
+        pieces.where(kind == "text").select(*KEY, F.coalesce("text", utf8_text(F.col("data"))).alias("content")),
+    ]
+    out = pieces.where(kind == "image").select(
+        *KEY, image_base64(F.col("data")).alias("content"), F.lit("image_b64").alias("found"))
+    for text in texts:
+        out = out.unionByName(text.withColumn("found", F.lit("text")))
+    out = out.unionByName(failed.withColumn("found", F.lit("error")))
+    # A file that failed halfway has pieces and an error: the error counts.
+    one = F.min(F.struct((F.col("found") != "error").alias("later"), "found", "content"))
+    best = out.groupBy(*KEY).agg(one.alias("o")).select(*KEY, "o.found", "o.content")
+    complex_pdf = facts.where("is_complex").select(*KEY, F.lit(True).alias("_complex"))
+    joined = files.select(*KEY).join(best, KEY, "left").join(complex_pdf, KEY, "left")
+    found = F.coalesce("found", F.lit("text"))
+    return joined.select(
+        *KEY, F.when((found == "text") & F.col("_complex"), "complex_pdf").otherwise(found).alias("kind"),
+        F.coalesce("content", F.lit("")).alias("content"))
+
+
+def cut_content(contents: DataFrame, max_words: int = fixed.DEFAULT_MAX_WORDS) -> DataFrame:
+    """Texts and complex PDFs cut to `max_words`."""
+    return contents.withColumn("content", F.when(
+        F.col("kind").isin("text", "complex_pdf"), truncate_words(F.col("content"), max_words)
+    ).otherwise(F.col("content")))
+
+
+def summary_answer(summarizer: Summarizer) -> Callable[[str, str], tuple[str | None, str | None]]:
+    """One call of the summariser: (summary, None), or (None, error)."""
+    def answer(kind: str, text: str) -> tuple[str | None, str | None]:
+        try:
+            return summarizer(kind, text).strip(), None
+        except Exception as e:  # any failure of the caller's model counts
+            return None, str(e)
+    return answer
+
+
+def summary_text(kind: Column, content: Column, reply: Column, error: Column) -> Column:
+    """What goes into the inventory: the summary, or why there is none."""
+    return F.when(kind == "error", F.concat(F.lit(fixed.SUMMARY_UNREADABLE), content)).otherwise(
+        F.coalesce(reply, F.concat(F.lit(fixed.SUMMARY_ERROR), F.coalesce(error, F.lit("")))))
 
 
 def fold_outcomes(

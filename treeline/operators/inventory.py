@@ -114,11 +114,11 @@ def remaining_work(
 
 
 def review_shortlist(df: DataFrame) -> DataFrame:
-    """Non-duplicates with an order number: directories first, INTERESTING first.
+    """Non-duplicates in reading order: directories first, INTERESTING first, then by path.
 
-    INTERESTING, REVIEW and SKIP happen to be in alphabetical order, so sorting by
-    `sort_dir`, `recommendation` and `path` gives the reading order.
+    INTERESTING, REVIEW and SKIP happen to be in alphabetical order.
     """
     fresh = ~F.coalesce(F.col("is_duplicate"), F.lit(False))
     return df.where(fresh).withColumn(
-        "sort_dir", F.when(F.col("is_dir"), 0).otherwise(1).cast("long"))
+        "sort_dir", F.when(F.col("is_dir"), 0).otherwise(1).cast("long")
+    ).orderBy("sort_dir", "recommendation", "path")

@@ -40,14 +40,12 @@ def organize_batches(eligible: DataFrame, size: int = fixed.DEFAULT_BATCH_SIZE)
     return assemble(number_batches(eligible, size), ITEM_FIELDS)
 
 
-def ask_each(prompts: DataFrame, ask: Callable[[str], str], keys: list[str]) -> DataFrame:
-    """(keys, reply, error): a call that fails or gives no text is made once more.
+#: Makes the calls of (keys, prompt) and returns (keys, reply, error).
+Asking = Callable[[DataFrame, Callable[[str], str | None], list[str]], DataFrame]
 
-    A call that fails twice has a null reply and says why.
-    """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
-                       for f in prompts.select(*keys).schema) + ", reply string, error string"
 
+def twice(ask: Callable[[str], str | None]) -> Callable[[str], tuple[str | None, str | None]]:
+    """A call that fails or gives no text is made once more: (reply, None) or (None, error)."""
     def answer(prompt: str) -> tuple[str | None, str | None]:
         error = None
         for _ in range(2):
@@ -59,6 +57,14 @@ def ask_each(prompts: DataFrame, ask: Callable[[str], str], keys: list[str]) ->
             except Exception as e:  # any failure of the caller's model counts
                 error = str(e)
         return None, error
+    return answer
+
+
+def ask_each(prompts: DataFrame, ask: Callable[[str], str | None], keys: list[str]) -> DataFrame:
+    """(keys, reply, error): a call that fails twice has a null reply and says why."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}"
+                       for f in prompts.select(*keys).schema) + ", reply string, error string"
+    answer = twice(ask)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -78,7 +84,8 @@ def check_replies(replies: DataFrame, what: str, keys: list[str]) -> None:
 
 
 def draft_taxonomy(
-    batches: DataFrame, propose: Callable[[str], str], merge: Callable[[str], str], folder: str
+    batches: DataFrame, propose: Callable[[str], str], merge: Callable[[str], str], folder: str,
+    asking: Asking = ask_each,
 ) -> str:
     """One taxonomy text over all summaries: a draft per batch, then merged in rounds.
 
@@ -90,7 +97,7 @@ def draft_taxonomy(
     prompts = batches.select(
         F.xxhash64("drive_id", "batch_id").alias("slot"),
         F.concat_ws("/", "drive_id", "batch_id").alias("batches"), F.col("items").alias("prompt"))
-    drafts = ask_each(prompts, propose, ["slot", "batches"])
+    drafts = asking(prompts, propose, ["slot", "batches"])
     step = 0
     while True:
         target = f"{folder}/taxonomy_{step}"
@@ -109,11 +116,13 @@ def draft_taxonomy(
             F.transform(F.array_sort(F.collect_list(F.struct("batch_pos", "reply"))),
                         lambda x: x["reply"]), "\n\n").alias("prompt"),
             F.concat(F.min("batches"), F.lit(" and others")).alias("batches"))
-        drafts = ask_each(prompts, merge, ["slot", "batches"])
+        drafts = asking(prompts, merge, ["slot", "batches"])
         step += 1
 
 
-def assign_batches(batches: DataFrame, taxonomy: str, assign: Callable[[str], str]) -> DataFrame:
+def assign_batches(
+    batches: DataFrame, taxonomy: str, assign: Callable[[str], str], asking: Asking = ask_each
+) -> DataFrame:
     """(drive_id, batch_id, reply, error): the target paths proposed for each batch.
 
     A batch whose reply is unusable twice has a null reply.
@@ -128,7 +137,7 @@ def assign_batches(batches: DataFrame, taxonomy: str, assign: Callable[[str], st
         F.lit("\nAnswer with a JSON array of objects with the keys original_path and "
               "organized_path, and nothing else.\n\nFiles:\n"),
         F.col("items")))
-    return ask_each(prompts, checked, ["drive_id", "batch_id"])
+    return asking(prompts, checked, ["drive_id", "batch_id"])
 
 
 def parse_assignments(replies: DataFrame) -> DataFrame:
@@ -146,16 +155,18 @@ def apply_assignments(df: DataFrame, eligible: DataFrame, assignments: DataFrame
     """Set organized_path of eligible rows; the last assignment of a path counts.
 
     `assignments` holds (original_path, organized_path, position) and may give the
-    batch_id, which then goes before the position. Rows that are not eligible or not named
-    keep what they have. Adds the boolean `assigned`.
+    batch_id, which then goes before the position, and the drive_id, which then has to
+    match as well. Rows that are not eligible or not named keep what they have. Adds the
+    boolean `assigned`.
     """
     df = ensure_columns(df, ["organized_path"])
+    drive = [c for c in ("drive_id",) if c in assignments.columns]
+    key = [*drive, "path"]
     order = F.struct(*[c for c in ("batch_id", "position") if c in assignments.columns])
-    latest = assignments.groupBy(F.col("original_path").alias("path")).agg(
+    latest = assignments.groupBy(*drive, F.col("original_path").alias("path")).agg(
         F.max_by(F.struct("organized_path"), order).alias("_to"))
-    allowed = eligible.select("path")
-    targets = latest.join(allowed, "path", "left_semi")
-    return df.join(targets, "path", "left").withColumns({
+    targets = latest.join(eligible.select(*key), key, "left_semi")
+    return df.join(targets, key, "left").withColumns({
         "organized_path": F.when(F.col("_to").isNotNull(), F.col("_to.organized_path"))
         .otherwise(F.col("organized_path")),
         "assigned": F.col("_to").isNotNull(),

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,14 +56,9 @@ def with_prompt(batches: DataFrame, instructions: str = INSTRUCTIONS) -> DataFra
     return batches.withColumn("prompt", F.concat(F.lit(instructions), F.col("items")))
 
 
-def score_batches(prompts: DataFrame, scorer: Scorer, concurrency: int | None = None) -> DataFrame:
-    """Send each prompt; one stricter retry after an error or an unusable reply.
-
-    Result: (drive_id, batch_id, reply, error). `concurrency` caps the number of
-    parallel callers. A retried task asks again, so the scorer must allow repeats.
-    """
-
-    def ask(prompt: str) -> tuple[str | None, str | None]:
+def triage_answer(scorer: Scorer) -> Callable[[str], tuple[str | None, str | None]]:
+    """One prompt with one stricter retry after an error or an unusable reply: (reply, error)."""
+    def answer(prompt: str) -> tuple[str | None, str | None]:
         error = None
         for text in (prompt, prompt + STRICTER):
             try:
@@ -75,19 +69,7 @@ def score_batches(prompts: DataFrame, scorer: Scorer, concurrency: int | None =
             except Exception as e:  # any failure of the caller's model counts
                 error = str(e)
         return None, error
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            answers = [ask(p) for p in frame["prompt"]]
-            yield pd.DataFrame({
-                "drive_id": frame["drive_id"], "batch_id": frame["batch_id"],
-                "reply": [a[0] for a in answers], "error": [a[1] for a in answers],
-            })
-
-    narrow = prompts.select("drive_id", "batch_id", "prompt")
-    if concurrency:
-        narrow = narrow.repartition(concurrency, "drive_id", "batch_id")
-    return narrow.mapInPandas(run, "drive_id string, batch_id long, reply string, error string")
+    return answer
 
 
 def parse_replies(replies: DataFrame) -> DataFrame:

@@ -7,10 +7,12 @@ with apply_edits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline import fixed_values as fixed
@@ -20,8 +22,8 @@ from treeline.operators import (
     content, deletion, duplicates, hierarchy, inventory, organize, recovery, reports, triage,
 )
 from treeline.schema import conform, ensure_columns
-from treeline.sources import tables, tree
-from treeline.sources.workspace import Work
+from treeline.sources import ledger, tables, tree
+from treeline.sources.workspace import Work, calls_folder
 
 
 @dataclass
@@ -38,6 +40,25 @@ class Options:
     min_dup_bytes: int = 0
     archive_prefix: str | None = None
     instructions: str = triage.INSTRUCTIONS
+    #: Name of the drive, for trees whose paths do not begin with one.
+    drive: str | None = None
+    #: Name of the model: replies of another one do not count as given.
+    model: str = ""
+    #: Model calls between two writes of their replies.
+    wave: int = ledger.WAVE
+
+
+def _ask(
+    calls: DataFrame, table: str, answer: ledger.Answer, inputs: list[str], o: Options, step: str
+) -> DataFrame:
+    """Calls of one step through the record beside the table: a rerun asks only what is open."""
+    return ledger.ask_all(
+        calls, calls_folder(table), answer, inputs, model=f"{o.model}/{step}", run=uuid.uuid4().hex,
+        wave=o.wave, concurrency=o.concurrency)
+
+
+def _drive(o: Options) -> Column:
+    return F.lit(o.drive) if o.drive else paths.drive(F.col("path"))
 
 
 def _lookups(spark: SparkSession, table: str, options: Options) -> tuple[DataFrame, DataFrame]:
@@ -48,8 +69,9 @@ def _lookups(spark: SparkSession, table: str, options: Options) -> tuple[DataFra
     else:
         known = spark.createDataFrame([], baseline)
     if options.registry:
+        rows = tables.read_registry(spark, options.registry)
         kept = duplicates.registry_hashes(
-            tables.read_registry(spark, options.registry), "date_copied")
+            rows.withColumn("appended", F.struct("append_no", "row_no")), "appended")
     return known, kept
 
 
@@ -64,11 +86,11 @@ def scan(spark: SparkSession, root: str, table: str, options: Options | None = N
         spark, root, work.path("listing"), exclude_dirs=o.exclude_dirs,
         exclude_extensions=o.exclude_extensions)
     known = tables.read_table(spark, table)
-    fresh = inventory.new_rows(listing, inventory.seen_paths(known))
+    fresh = inventory.new_rows(
+        listing.withColumn("drive_id", _drive(o)), known.select("drive_id", "path"), ["drive_id", "path"])
     last = known.agg(F.max("row_seq")).first()[0]
     numbered = work.stored(tree.number_rows(fresh, 0 if last is None else last + 1), "numbered")
-    hashed = work.stored(tree.hash_files(numbered), "hashed").withColumn(
-        "drive_id", paths.drive(F.col("path")))
+    hashed = work.stored(tree.hash_files(numbered), "hashed")
     baseline, registry = _lookups(spark, table, o)
     rows = duplicates.classify(
         conform(hashed), baseline, registry, earlier=known, min_dup_bytes=o.min_dup_bytes)
@@ -82,11 +104,11 @@ def estimate(spark: SparkSession, root: str, table: str, options: Options | None
     o = options or Options()
     listing = conform(tree.list_tree(
         spark, root, Work(spark, table).path("listing"), exclude_dirs=o.exclude_dirs,
-        exclude_extensions=o.exclude_extensions))
-    seen = inventory.seen_paths(tables.read_table(spark, table))
+        exclude_extensions=o.exclude_extensions).withColumn("drive_id", _drive(o)))
+    seen = tables.read_table(spark, table).select("drive_id", "path")
     counted = listing.where(
         ~F.col("is_dir") | F.coalesce(F.col("comment") == fixed.COMMENT_EXCLUDED, F.lit(False)))
-    return inventory.new_rows(counted, seen).agg(
+    return inventory.new_rows(counted, seen, ["drive_id", "path"]).agg(
         F.count("*").alias("remaining_items"),
         F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("remaining_bytes"))
 
@@ -96,16 +118,21 @@ def ingest_csv(spark: SparkSession, files: str | list[str], table: str) -> int:
     return tables.write_table(tables.read_inventory_csv(spark, files), table)
 
 
-def apply_edits(df: DataFrame, edits: DataFrame) -> DataFrame:
+def apply_edits(df: DataFrame, edits: DataFrame, order: str | None = None) -> DataFrame:
     """Lay reviews and decisions of (path, review, decision) over an inventory.
 
-    A null leaves the value as it is, an empty text clears it. Of several edits of one path
-    the last in text order counts.
+    Edits with a drive_id are for that drive only. A null leaves the value as it is, an empty
+    text clears it. Of several edits of one path the last by the column `order` counts, for
+    each of the two values; without it, or among equals, the last in text order.
     """
     df = ensure_columns(df, ["review", "decision"])
-    new = edits.groupBy("path").agg(F.max("review").alias("_review"), F.max("decision").alias("_decision"))
-    return df.join(new, "path", "left").withColumns({
-        c: F.coalesce(f"_{c}", c) for c in ("review", "decision")}).select(*df.columns)
+    key = [c for c in ("drive_id", "path") if c in edits.columns]
+    at = F.col(order) if order else F.lit(0)
+    last = {c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("v"))))
+            for c in ("review", "decision")}
+    new = edits.groupBy(*key).agg(*(v.alias(f"_{c}") for c, v in last.items()))
+    return df.join(new, key, "left").withColumns({
+        c: F.coalesce(f"_{c}", c) for c in last}).select(*df.columns)
 
 
 def mark_duplicates(spark: SparkSession, table: str) -> DataFrame:
@@ -123,72 +150,76 @@ def rate(
     marked = duplicates.mark_duplicates(tables.read_table(spark, table))
     rows = work.stored(triage.triage_rows(marked, o.batch_size), "triage_rows")
     prompts = triage.with_prompt(triage.assemble(rows, triage.ITEM_FIELDS), o.instructions)
-    # Stored, so that no batch is sent again when a later step is retried.
-    replies = work.stored(triage.score_batches(prompts, scorer, o.concurrency), "replies")
+    calls = work.stored(prompts.select("drive_id", "batch_id", "prompt"), "prompts")
+    replies = _ask(calls, table, triage.triage_answer(scorer), ["prompt"], o, "rate").drop("prompt")
     rated = triage.apply_replies(rows, replies).drop("batch_id", "batch_pos")
     rest = triage.needs_no_triage(marked)
     tables.write_table(rest.unionByName(rated, allowMissingColumns=True), table)
 
 
 def summarize(
-    spark: SparkSession, table: str, decoder: Callable[[str, bytes], str],
+    spark: SparkSession, table: str, decoder: content.Decoder,
     summarizer: content.Summarizer, options: Options | None = None,
 ) -> None:
-    """Summarise the files under review; needs `source_uri` in the table.
+    """Summarise the files under review.
 
-    Text files are decoded here, PDF, Word, Excel and image files by `decoder`,
-    which returns PDF text with a form feed after each page.
+    A file is opened at its `source_uri`, or at its path where the table has none. Text files are
+    decoded here, PDF, Word, Excel and image files by `decoder`, which yields their pieces.
     """
-    o = options or Options()
-    tmp = Work(spark, table)
-    df = ensure_columns(tables.read_table(spark, table), ["summary", "pdf_complexity"])
-    # One row per path: the same file under two rows is read and summarised once.
-    work = tmp.stored(content.summarize_eligible(df).groupBy("path").agg(*(
-        F.min(c).alias(c) for c in ("source_uri", "extension", "pdf_complexity"))), "to_summarize").withColumn(
-        "route", content.content_route(F.col("extension")))
-    loaded = tmp.stored(tree.file_bytes(work), "file_bytes")
-    joined = work.join(loaded, "path")
-    plain = F.col("route").isin("text", "text_attempt")
-    failed = joined.where(F.col("error").isNotNull()).select(
-        "path", F.lit("error").alias("kind"), F.col("error").alias("content"))
-    texts = joined.where(F.col("error").isNull() & plain).select(
-        "path", F.lit("text").alias("kind"), content.utf8_text(F.col("content")).alias("content"))
-    decoded = tmp.stored(content.extract_content(
-        joined.where(F.col("error").isNull() & ~plain), decoder), "decoded")
-    pdf = work.where(F.col("route") == "pdf").select("path", "pdf_complexity")
-    pages = decoded.where(F.col("kind") == "text").join(pdf, "path", "left_semi").select(
-        "path", F.posexplode(F.split(F.regexp_replace("content", "\f$", ""), "\f")).alias(
-            "page_no", "text")).withColumn("n_images", F.lit(0))
-    facts = tmp.stored(content.pdf_complexity(pages, pdf), "pdf_facts")
-    cleaned = decoded.withColumn("content", F.translate("content", "\f", "\n"))
-    kinds = cleaned.join(facts.select("path", "is_complex"), "path", "left").withColumn(
-        "kind", F.when(F.col("is_complex"), "complex_pdf").otherwise(F.col("kind"))
-    ).drop("is_complex")
-    contents = texts.unionByName(kinds).unionByName(failed)
-    done = tmp.stored(content.summarize(contents, summarizer, o.max_words, o.concurrency), "summaries")
-    out = content.fill_pdf_complexity(content.fold_outcomes(df, done, "summary", only_blank=True), facts)
-    tables.write_table(out, table)
+    o, work = options or Options(), Work(spark, table)
+    df = ensure_columns(tables.read_table(spark, table), ["summary", "pdf_complexity", "source_uri"])
+    # One row per drive and path, whole and the first: the same file is summarised once.
+    first = F.min(F.struct(F.coalesce("row_seq", F.lit(2 ** 63 - 1)).alias("at"), F.coalesce(
+        "source_uri", "path").alias("uri"), "extension", "pdf_complexity"))
+    files = work.stored(content.summarize_eligible(df).groupBy(*content.KEY).agg(first.alias("f")).select(
+        *content.KEY, content.content_route(F.col("f.extension")).alias("route"), "f.uri",
+        "f.pdf_complexity"), "to_summarize")
+    tasks = o.concurrency or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = work.stored(content.decode_pieces(files.repartition(tasks, *content.KEY), decoder), "pieces")
+    facts = work.stored(content.pdf_facts(files, pieces), "pdf_facts")
+    contents = work.stored(content.cut_content(
+        content.file_contents(files, pieces, facts), o.max_words), "contents")
+    calls = contents.where(F.col("kind") != "error")
+    replies = _ask(calls, table, content.summary_answer(summarizer), ["kind", "content"], o, "summarize")
+    none = F.lit(None).cast("string")
+    done = replies.unionByName(contents.where(F.col("kind") == "error").withColumns({"reply": none, "error": none}))
+    done = work.stored(done.select(*content.KEY, content.summary_text(
+        *(F.col(c) for c in ("kind", "content", "reply", "error"))).alias("summary")), "summaries")
+    out = content.fold_outcomes(df, done, "summary", content.KEY, only_blank=True)
+    tables.write_table(content.fill_pdf_complexity(out, facts, content.KEY), table)
+
+
+class Organised(NamedTuple):
+    taxonomy: str
+    assigned: int
 
 
 def organise(
     spark: SparkSession, table: str, propose: Callable[[str], str], merge: Callable[[str], str],
     assign: Callable[[str], str], options: Options | None = None,
-) -> str:
-    """Propose a taxonomy, assign target paths in batches, return the taxonomy.
+) -> Organised:
+    """Propose a taxonomy, assign target paths in batches; returns both.
 
-    Raises, and changes nothing, when a call fails twice. How many rows got a target is in
-    `organized_path` of the next version.
+    Raises, and changes nothing, when a call fails twice; the replies there are stay known.
     """
     o = options or Options()
     df, work = tables.read_table(spark, table), Work(spark, table)
     eligible = work.stored(organize.organize_eligible(df), "organizable")
     batches = work.stored(organize.organize_batches(eligible, o.batch_size), "organize_batches")
-    taxonomy = organize.draft_taxonomy(batches, propose, merge, work.path("taxonomy"))
-    replies = work.stored(organize.assign_batches(batches, taxonomy, assign), "assignments")
+    steps = {propose: "propose", merge: "merge"}
+
+    def asking(prompts: DataFrame, ask: Callable[[str], str | None], keys: list[str]) -> DataFrame:
+        step = steps.get(ask, "assign")
+        calls = work.stored(prompts.select(*keys, "prompt"), f"{step}_{uuid.uuid4().hex}")
+        return _ask(calls, table, organize.twice(ask), ["prompt"], o, step).select(*keys, "reply", "error")
+
+    taxonomy = organize.draft_taxonomy(batches, propose, merge, work.path("taxonomy"), asking)
+    replies = work.stored(organize.assign_batches(batches, taxonomy, assign, asking), "assignments")
     organize.check_replies(replies, "assignment calls", ["drive_id", "batch_id"])
-    assigned = organize.apply_assignments(df, eligible, organize.parse_assignments(replies))
+    assigned = work.stored(organize.apply_assignments(
+        df, eligible, organize.parse_assignments(replies)), "assigned")
     tables.write_table(assigned.drop("assigned"), table)
-    return taxonomy
+    return Organised(taxonomy, assigned.where("assigned").count())
 
 
 def copy(spark: SparkSession, table: str, dest_root: str, options: Options | None = None) -> DataFrame:
@@ -201,7 +232,9 @@ def copy(spark: SparkSession, table: str, dest_root: str, options: Options | Non
     verified = work.stored(recovery.verify_copies(plan, copied), "verified")
     if o.registry:
         stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
-        tables.append_registry(recovery.registry_rows(verified, stamp), o.registry)
+        # A run that died behind this step is repeated on the same version: it adds nothing twice.
+        run = f"{table.rstrip('/')}@{tables.last_version(spark, table)}"
+        tables.append_registry(recovery.registry_rows(verified, stamp), o.registry, run)
     tables.write_table(
         content.fold_outcomes(df, verified, "copy_status", ["drive_id", "path"]), table)
     return recovery.copy_counts(verified)

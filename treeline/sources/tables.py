@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treeline.functions import paths
 from treeline.operators.deletion import manifest_name
@@ -76,12 +77,11 @@ def write_manifests_per_drive(manifest: DataFrame, inventory_name: str, folder:
 
 
 def write_empty_manifests(spark: SparkSession, inventories: list[str], folder: str) -> None:
-    """A manifest with a header only for each inventory that has nothing to delete."""
-    names = spark.createDataFrame([(i,) for i in inventories], "inventory string").select(
-        manifest_name(F.col("inventory")).alias("name")).distinct().collect()
-    for row in names:
-        empty = spark.createDataFrame([], text_schema(MANIFEST_COLUMNS))
-        write_csv(empty, f"{folder}/manifest={row['name']}")
+    """A manifest with a header only for each inventory that has nothing to delete, in one job."""
+    header = spark.createDataFrame([(i, ",".join(MANIFEST_COLUMNS)) for i in inventories],
+                                   "inventory string, value string")
+    named = header.select(manifest_name(F.col("inventory")).alias("manifest"), "value").distinct()
+    named.write.mode("append").partitionBy("manifest").text(folder)
 
 
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,14 +139,49 @@ def append_rows(df: DataFrame, folder: str) -> None:
     df.write.mode("append").parquet(f"{folder}/v={versions[-1] if versions else 0}")
 
 
-def append_registry(rows: DataFrame, folder: str) -> None:
-    rows.select(*[f.name for f in REGISTRY]).write.mode("append").parquet(folder)
+def last_version(spark: SparkSession, folder: str) -> int | None:
+    versions = _versions(spark, folder)
+    return versions[-1] if versions else None
 
 
-def read_registry(spark: SparkSession, folder: str) -> DataFrame:
-    """The registry of kept files; a folder that does not exist yet is empty."""
+# The registry: a folder with one sub-folder per append. Only complete ones are read.
+_APPENDS = T.StructType([
+    *REGISTRY.fields, T.StructField("run", T.StringType()), T.StructField("row_no", T.LongType())])
+
+
+def _appends(spark: SparkSession, folder: str) -> list[int]:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     place = hadoop(folder)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        return spark.createDataFrame([], REGISTRY)
-    return spark.read.schema(REGISTRY).parquet(folder)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return []
+    names = [e.getPath() for e in fs.listStatus(place) if e.getPath().getName().startswith("append_no=")]
+    return sorted(int(p.getName()[10:]) for p in names if fs.exists(hadoop(p, "_SUCCESS")))
+
+
+def append_registry(rows: DataFrame, folder: str, run: str = "") -> None:
+    """Add rows to the registry as one append, seen as a whole or not at all.
+
+    With the name of a `run`, what an earlier attempt of it added is not added again. One
+    writer at a time.
+    """
+    spark = rows.sparkSession
+    new = rows.select(*[f.name for f in REGISTRY])
+    if run:
+        known = read_registry(spark, folder).where(F.col("run") == run).select(
+            F.col("original_path").alias("_path"), F.col("drive").alias("_drive"))
+        same = F.col("original_path").eqNullSafe(F.col("_path")) & F.col("drive").eqNullSafe(F.col("_drive"))
+        new = new.join(known, same, "left_anti")
+    earlier = _appends(spark, folder)
+    numbered = new.withColumns({"run": F.lit(run), "row_no": F.monotonically_increasing_id()})
+    numbered.write.mode("overwrite").parquet(f"{folder}/append_no={earlier[-1] + 1 if earlier else 1}")
+
+
+def read_registry(spark: SparkSession, folder: str) -> DataFrame:
+    """The registry of kept files with append_no and row_no; one that does not exist is empty."""
+    schema = T.StructType([*_APPENDS.fields, T.StructField("append_no", T.IntegerType())])
+    numbers = _appends(spark, folder)
+    if not numbers:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", folder).parquet(
+        *[f"{folder}/append_no={n}" for n in numbers])

@@ -195,27 +195,6 @@ def hash_files(listing: DataFrame, tasks: int | None = None) -> DataFrame:
         "comment", F.when(stub, fixed.COMMENT_CLOUD_STUB).otherwise(F.col("comment"))).drop("errno")
 
 
-def file_bytes(files: DataFrame, tasks: int | None = None) -> DataFrame:
-    """(path, content, error): the bytes of each file of (path, source_uri)."""
-    n = tasks or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def read(uri: str) -> tuple[bytes | None, str | None]:
-        try:
-            with open(uri, "rb") as f:
-                return f.read(), None
-        except OSError as e:
-            return None, str(e)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, uri in zip(frame["path"], frame["source_uri"]):
-                data, error = read(uri)
-                yield pd.DataFrame({"path": [path], "content": [data], "error": [error]})
-
-    return files.select("path", "source_uri").repartition(n, "path").mapInPandas(
-        run, "path string, content binary, error string")
-
-
 def number_rows(listing: DataFrame, first: int = 0) -> DataFrame:
     """Add row_seq in path order. The numbers have gaps; store the result at once."""
     ordered = listing.repartitionByRange("path").sortWithinPartitions("path")

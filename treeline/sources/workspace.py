@@ -24,6 +24,11 @@ def work_folder(target: str) -> str:
     return target.rstrip("/") + "_work"
 
 
+def calls_folder(table: str) -> str:
+    """Beside a table: the record of the model calls made for it, see sources.ledger."""
+    return table.rstrip("/") + "_calls"
+
+
 class Work:
     """The intermediate tables of one run of a job."""
 
