@@ -121,11 +121,11 @@ def assignments(eligible: DataFrame) -> DataFrame:
     """Target paths proposed for the documents that are not plain text."""
     chosen = eligible.where(F.col("extension") != ".txt")
     first = chosen.select(
-        F.col("path").alias("original_path"),
+        "drive_id", F.col("path").alias("original_path"),
         F.concat(F.lit("Old/"), F.col("filename")).alias("organized_path"),
         F.lit(0).alias("position"))
     again = chosen.where(F.col("size_bytes") > 2000).select(
-        F.col("path").alias("original_path"),
+        "drive_id", F.col("path").alias("original_path"),
         F.concat(F.lit("Large/"), F.col("filename")).alias("organized_path"),
         F.lit(1).alias("position"))
     return first.unionByName(again)

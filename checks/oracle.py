@@ -200,6 +200,14 @@ todo0 AS (SELECT *, row_number() OVER (PARTITION BY drive_id
   FROM marked WHERE recommendation IS NULL),
 todo AS (SELECT *, pos // 50 AS batch_id, pos % 50 AS batch_pos FROM todo0)"""
 
+# The items of a batch as one JSON text.
+PAYLOADS = f"""
+payloads AS (SELECT drive_id, batch_id, count(*) AS n_rows, concat('[', string_agg(concat(
+    '{{"path":"', replace(path, {B}, concat({B}, {B})), '","filename":"', coalesce(filename, ''),
+    '","extension":"', coalesce(extension, ''), '","is_dir":', CASE WHEN is_dir THEN 'true' ELSE 'false' END,
+    ',"size_bytes":', size_bytes, ',"modified":', CASE WHEN modified IS NULL THEN 'null' ELSE concat('"', modified, '.000"') END, '}}'),
+    ',' ORDER BY batch_pos), ']') AS items FROM todo GROUP BY drive_id, batch_id)"""
+
 REPLIES = f"""
 items AS (
   SELECT drive_id, batch_id, batch_pos, concat('{{"path": "',
@@ -444,17 +452,19 @@ FROM dinv d LEFT JOIN cov c ON d.drive_id = c.drive_id AND d.path = c.path
 LEFT JOIN single s ON d.drive_id = s.drive_id AND d.path = s.path""", *DELETION),
     "triage_batches": query("SELECT drive_id, path, batch_id, batch_pos FROM todo", *TRIAGED),
     "triage_payloads": query("""
-SELECT drive_id, batch_id, count(*) AS n_rows, arg_min(path, batch_pos) AS first_path,
-  count(*) AS n_items FROM todo GROUP BY drive_id, batch_id""", *TRIAGED),
+SELECT drive_id, batch_id, n_rows, length(items) AS n_chars, md5(items) AS items_md5
+FROM payloads""", *TRIAGED, PAYLOADS),
     "rule_triage": query("""
 SELECT drive_id, path, recommendation, confidence, comment FROM rule_rows""", *BASE, RULES),
     "triage_parse": query("""
-SELECT r.drive_id, r.batch_id, CASE WHEN f.ok THEN f.n ELSE -1 END AS n_items,
-  CASE WHEN f.ok THEN json_extract_string(a.e, '$.path') END AS first_path,
-  CASE WHEN f.ok THEN json_extract_string(z.e, '$.confidence') END AS last_confidence
+SELECT r.drive_id, r.batch_id, CASE WHEN any_value(f.ok) THEN any_value(f.n) ELSE -1 END AS n_items,
+  CASE WHEN any_value(f.ok) THEN md5(string_agg(concat_ws('|',
+    coalesce(json_extract_string(a.e, '$.path'), '-'), coalesce(json_extract_string(a.e, '$.recommendation'), '-'),
+    coalesce(json_extract_string(a.e, '$.confidence'), '-'), coalesce(json_extract_string(a.e, '$.comment'), '-')),
+    chr(10) ORDER BY a.i)) END AS items_md5
 FROM replies r LEFT JOIN flags f ON r.drive_id = f.drive_id AND r.batch_id = f.batch_id
-LEFT JOIN rated a ON r.drive_id = a.drive_id AND r.batch_id = a.batch_id AND a.i = 0
-LEFT JOIN rated z ON r.drive_id = z.drive_id AND r.batch_id = z.batch_id AND z.i = f.n - 1""", *REPLIED),
+LEFT JOIN rated a ON r.drive_id = a.drive_id AND r.batch_id = a.batch_id
+GROUP BY r.drive_id, r.batch_id""", *REPLIED),
     "triage_apply": query("""
 , good AS (SELECT r.drive_id, r.batch_id, json_extract_string(r.e, '$.path') AS path,
     json_extract_string(r.e, '$.recommendation') AS recommendation,
@@ -513,7 +523,9 @@ FROM files f LEFT JOIN pdf_facts p ON f.path = p.path""", FILES, PAGES),
     "organize_eligible": query(
         "SELECT drive_id, path, filename, summary FROM organizable", *DECIDED, SUMMARIES),
     "organize_payloads": query("""
-SELECT drive_id, pos // 25 AS batch_id, count(*) AS n_rows, arg_min(path, pos) AS first_path
+SELECT drive_id, pos // 25 AS batch_id, count(*) AS n_rows, md5(concat('[', string_agg(concat(
+    '{"path":"', replace(path, chr(92), concat(chr(92), chr(92))), '","filename":"', filename,
+    '","summary":"', summary, '"}'), ',' ORDER BY pos), ']')) AS items_md5
 FROM (SELECT *, row_number() OVER (PARTITION BY drive_id ORDER BY row_seq, path) - 1 AS pos
       FROM organizable) GROUP BY drive_id, pos // 25""", *DECIDED, SUMMARIES),
     "apply_assignments": query("""
@@ -581,8 +593,37 @@ SELECT drive_id, path, CAST(2 * count(*) AS BIGINT) AS n_rows,
   CASE WHEN bool_or(NOT is_dir) THEN max(md5_hash) ELSE '' END AS least, 'kept' AS most
 FROM inv GROUP BY drive_id, path""", *BASE),
     "unfenced_replies": query("""
-SELECT row_seq, md5(trim(text, concat(' ', chr(9), chr(10), chr(13)))) AS body_md5
-FROM files WHERE drive_id <> 'F:'""", FILES),
+SELECT drive_id, row_seq, md5(trim(text, concat(' ', chr(9), chr(10), chr(13)))) AS body_md5
+FROM files""", FILES),
+    "ledger_calls": query("""
+SELECT drive_id, batch_id, unnest([0, 1]) AS copy, concat(CASE WHEN batch_id % 5 < 3 AND length(items) % 3 <> 0
+    THEN 'one ' ELSE 'two ' END, right(items, 60)) AS reply, NULL::VARCHAR AS error,
+  CASE WHEN batch_id % 5 < 3 AND length(items) % 3 = 0 THEN 2::BIGINT ELSE 1::BIGINT END AS n_attempts
+FROM payloads""", *TRIAGED, PAYLOADS),
+    "registry_appends": query("""
+SELECT md5_hash, arg_max(path, (row_seq % 3, row_seq, path)) AS kept_path,
+  concat('to/', arg_max(filename, (row_seq % 3, row_seq, path))) AS kept_target,
+  count(*) AS n_rows, CAST(1 + max(row_seq % 3) AS INTEGER) AS last_append
+FROM files GROUP BY md5_hash""", FILES),
+    "summary_inputs": query(f"""
+, sheet_lines AS (""" + lines(".xlsx").partition("lines AS (")[2] + """,
+para_lines AS (""" + lines(".docx").partition("lines AS (")[2] + """,
+lines AS (SELECT * FROM sheet_lines),""" + SHEETS + """,
+texts AS (
+  SELECT path, string_agg(text, chr(10) ORDER BY page_no) AS c FROM pdf_pages WHERE text <> '' GROUP BY path
+  UNION ALL SELECT path, string_agg(line, chr(10) ORDER BY place) FROM (
+    SELECT path, sheet_no * 21 + shown AS place, line FROM preview
+    UNION ALL SELECT DISTINCT path, sheet_no * 21, concat('Sheet: ', sheet) FROM cells) GROUP BY path
+  UNION ALL SELECT path, string_agg(line, chr(10) ORDER BY line_no) FROM para_lines
+    WHERE trim(line, concat(' ', chr(9), chr(13))) <> '' GROUP BY path
+  UNION ALL SELECT path, CASE extension WHEN '.exe' THEN 'no reader' WHEN '.jpg' THEN to_base64(encode(text))
+    ELSE text END FROM files WHERE extension NOT IN ('.pdf', '.xlsx', '.docx')),
+found AS (
+  SELECT f.drive_id, f.path, coalesce(t.c, '') AS c, CASE WHEN extension = '.exe' THEN 'error'
+    WHEN extension = '.jpg' THEN 'image_b64' WHEN extension = '.pdf' AND greatest(CASE f.review WHEN 'True' THEN 0 WHEN 'no' THEN 1
+      ELSE p.has_images END, p.sparse) = 1 THEN 'complex_pdf' ELSE 'text' END AS kind
+  FROM files f LEFT JOIN texts t ON f.path = t.path LEFT JOIN pdf_facts p ON f.path = p.path)
+SELECT drive_id, path, kind, length(c) AS n_chars, md5(c) AS content_md5 FROM found""", FILES, PAGES),
     "csv_records": """
 SELECT doc_id, lang, CASE WHEN doc_id % 2 = 1 THEN 'x' || chr(10) END AS more,
        CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS half,

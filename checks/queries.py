@@ -11,7 +11,7 @@ from treeline.operators import (
     content, deletion, duplicates, hierarchy, inventory, organize, recovery, reports, triage,
 )
 from treeline.plans import sample_inventory as sample
-from treeline.sources import tables
+from treeline.sources import ledger, tables
 from treeline.sources.workspace import new_folder
 from treeline.streaming import arrivals
 
@@ -183,9 +183,8 @@ def triage_batches(spark: SparkSession, d: str) -> DataFrame:
 def triage_payloads(spark: SparkSession, d: str) -> DataFrame:
     marked = duplicates.mark_duplicates(fx.classified(spark, d))
     return triage.triage_batches(marked).select(
-        "drive_id", "batch_id", "n_rows",
-        F.get_json_object("items", "$[0].path").alias("first_path"),
-        F.json_array_length("items").cast("long").alias("n_items"))
+        "drive_id", "batch_id", "n_rows", F.length("items").cast("long").alias("n_chars"),
+        F.md5("items").alias("items_md5"))
 
 
 def rule_triage(spark: SparkSession, d: str) -> DataFrame:
@@ -195,10 +194,11 @@ def rule_triage(spark: SparkSession, d: str) -> DataFrame:
 
 def triage_parse(spark: SparkSession, d: str) -> DataFrame:
     parsed = triage.parse_replies(fx.replies(fx.triage_input(spark, d)))
+    line = F.transform("parsed", lambda m: F.concat_ws(
+        "|", *(F.coalesce(m[k], F.lit("-")) for k in triage.REPLY_KEYS)))
     return parsed.select(
         "drive_id", "batch_id", F.coalesce(F.size("parsed"), F.lit(-1)).cast("long").alias("n_items"),
-        F.try_element_at("parsed", F.lit(1))["path"].alias("first_path"),
-        F.try_element_at("parsed", F.lit(-1))["confidence"].alias("last_confidence"))
+        F.md5(F.array_join(line, "\n")).alias("items_md5"))
 
 
 def triage_apply(spark: SparkSession, d: str) -> DataFrame:
@@ -282,8 +282,7 @@ def organize_eligible(spark: SparkSession, d: str) -> DataFrame:
 def organize_payloads(spark: SparkSession, d: str) -> DataFrame:
     inv = fx.with_summaries(sample.conformed(spark, d))
     return organize.organize_batches(organize.organize_eligible(inv), 25).select(
-        "drive_id", "batch_id", "n_rows",
-        F.get_json_object("items", "$[0].path").alias("first_path"))
+        "drive_id", "batch_id", "n_rows", F.md5("items").alias("items_md5"))
 
 
 def apply_assignments(spark: SparkSession, d: str) -> DataFrame:
@@ -355,10 +354,53 @@ def blank_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unfenced_replies(spark: SparkSession, d: str) -> DataFrame:
-    """Every document as a fenced reply, and the text without its fence."""
+    """Every document and page as a fenced reply, and the text without its fence."""
     fenced = F.concat(F.lit(" ```JSON\n"), F.col("text"), F.lit("\n```\n"))
-    return sample.document_files(spark, d).select(
-        "row_seq", F.md5(replies.unfenced(fenced)).alias("body_md5"))
+    return sample.files(spark, d).select(
+        "drive_id", "row_seq", F.md5(replies.unfenced(fenced)).alias("body_md5"))
+
+
+def ledger_calls(spark: SparkSession, d: str) -> DataFrame:
+    """All triage prompts, twice each, in two runs: the first dies early and fails for some."""
+    folder, step = new_folder(spark, "calls"), F.col("batch_id") % 5
+    marked = duplicates.mark_duplicates(fx.classified(spark, d))
+    batches = sample.kept(triage.triage_batches(marked).select("drive_id", "batch_id", F.col("items").alias("prompt")))
+    calls = batches.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+
+    def first(prompt: str) -> tuple[str | None, str | None]:
+        return (None, "busy") if len(prompt) % 3 == 0 else (f"one {prompt[-60:]}", None)
+
+    def second(prompt: str) -> tuple[str | None, str | None]:
+        return f"two {prompt[-60:]}", None
+
+    ledger.ask_all(sample.kept(calls.where(step < 3)), folder, first, ["prompt"], wave=7)
+    asked = ledger.ask_all(calls, folder, second, ["prompt"], wave=7)
+    attempts = ledger.read_ledger(spark, folder).groupBy("digest").agg(F.count("*").alias("n_attempts"))
+    named = asked.withColumn("digest", ledger.call_digest(["prompt"]))
+    return named.join(attempts, "digest").select("drive_id", "batch_id", "copy", "reply", "error", "n_attempts")
+
+
+def registry_appends(spark: SparkSession, d: str) -> DataFrame:
+    """The hashes of all files in three appends, the last made twice: the last row of each hash."""
+    folder = new_folder(spark, "registry")
+    every = sample.kept(sample.files(spark, d).select(
+        "md5_hash", F.col("path").alias("original_path"), F.concat(F.lit("to/"), "filename").alias("organized_path"),
+        F.col("drive_id").alias("drive"), F.lit(fx.COPIED_AT).alias("date_copied"), "row_seq"))
+    for k in (0, 1, 2, 2):
+        part = every.where(F.col("row_seq") % 3 == k).orderBy("row_seq", "original_path")
+        tables.append_registry(part, folder, f"run {k}")
+    rows = tables.read_registry(spark, folder).withColumn("appended", F.struct("append_no", "row_no"))
+    n = rows.groupBy("md5_hash").agg(F.count("*").alias("n_rows"), F.max("append_no").alias("last_append"))
+    return duplicates.registry_hashes(rows, "appended").join(n, "md5_hash")
+
+
+def summary_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """What the summariser is given for every file, from the pieces of its decoder."""
+    todo, parts = sample.kept(sample.to_summarize(spark, d)), sample.kept(sample.pieces(spark, d))
+    facts = content.pdf_facts(todo, parts)
+    return content.file_contents(todo, parts, facts).select(
+        "drive_id", "path", "kind", F.length("content").cast("long").alias("n_chars"),
+        F.md5("content").alias("content_md5"))
 
 
 def csv_records(spark: SparkSession, d: str) -> DataFrame:
@@ -423,5 +465,5 @@ QUERIES = [
     organize_eligible, organize_payloads, apply_assignments, rule_targets, copy_plan,
     copy_verify, copy_counts, kept_registry_rows, status_fold, duplicates_report,
     report_totals, review_shortlist, blank_values, unfenced_replies, incremental_inventory,
-    rate_fold, summary_fold, csv_records,
+    rate_fold, summary_fold, csv_records, ledger_calls, registry_appends, summary_inputs,
 ]

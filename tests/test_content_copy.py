@@ -1,3 +1,4 @@
+import base64
 import os
 
 import pytest
@@ -42,6 +43,11 @@ def test_sheet_text(spark):
     assert text == "\n".join(["Sheet: One"] + [f"r{2 * i}" for i in range(20)] + ["Sheet: Two"])
 
 
+def test_base64_is_one_line(spark):
+    df = spark.createDataFrame([(bytearray(range(200)),)], "content binary")
+    assert df.select(content.image_base64(F.col("content"))).first()[0] == base64.b64encode(bytes(range(200))).decode()
+
+
 def test_bad_bytes_become_text(spark):
     df = spark.createDataFrame([(bytearray(b"ok\xff!"),)], "content binary")
     assert df.select(content.utf8_text(F.col("content"))).first()[0] == "ok\ufffd!"

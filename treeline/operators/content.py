@@ -65,7 +65,8 @@ def utf8_text(content: Column) -> Column:
 
 
 def image_base64(content: Column) -> Column:
-    return F.base64(content)
+    """Base64 in one line: the function breaks it every 76 characters."""
+    return F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
 
 
 def truncate_words(text: Column, limit: int = fixed.DEFAULT_MAX_WORDS) -> Column:

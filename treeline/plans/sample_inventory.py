@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.functions import paths
+from treeline.operators import content
 from treeline.operators.inventory import with_directories
 from treeline.schema import INVENTORY, conform
 from treeline.sources.workspace import new_folder
@@ -148,6 +149,36 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("path", F.col("line_no").cast("long").alias("para_no"),
                         F.col("line").alias("text"))
 
+
+def to_summarize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(drive_id, path, route, pdf_complexity) of every file, some PDFs rated before."""
+    known = F.when(F.col("review") == "True", " Simple ").when(F.col("review") == "no", "complex")
+    return files(spark, sf_dir).select(
+        "drive_id", "path", content.content_route(F.col("extension")).alias("route"),
+        F.coalesce(known, F.lit("")).alias("pdf_complexity"))
+
+
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a decoder yields for all files; programs cannot be read."""
+    every = files(spark, sf_dir).withColumn("route", content.content_route(F.col("extension")))
+    program = F.col("extension") == ".exe"
+    whole = every.where(F.col("route").isin("text", "text_attempt", "image")).select(
+        "path", F.when(program, "error").when(F.col("route") == "image", "image").otherwise("text").alias("kind"),
+        F.lit(0).alias("no"), F.when(program, "no reader").alias("text"),
+        F.when(~program, F.col("text").cast("binary")).alias("data"))
+    parts = [
+        pdf_pages(spark, sf_dir).select("path", F.lit("page").alias("kind"), F.col("page_no").alias("no"), "text", "n_images"),
+        sheet_rows(spark, sf_dir).select("path", F.lit("row").alias("kind"), F.col("row_no").alias("no"),
+                                         F.col("line").alias("text"), "sheet_no", "sheet"),
+        paragraphs(spark, sf_dir).select("path", F.lit("paragraph").alias("kind"), F.col("para_no").alias("no"), "text"),
+    ]
+    out = whole
+    for part in parts:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.withColumn("drive_id", F.substring_index("path", "\\", 1)).select(
+        *(F.col(c.split()[0]).cast(c.split()[1]) for c in content.PIECES.split(", ")))
+
+
 _KEPT: dict[tuple[str, str], str] = {}
 
 
