@@ -150,7 +150,8 @@ def resolve_path(
     """Effective values of one path, which need not be a row, with their origin.
 
     Result: one row per column with path, column_name, value and source. Only the
-    rows on the way up are read; for each distance the last stated value counts.
+    rows on the way up are read; for each distance the last stated value counts. Where df
+    has `path_key`, the keys on the way up go into the scan as a filter on it.
     """
     spark = df.sparkSession
     asked = spark.range(1).select(F.lit(path).alias("path"))
@@ -161,6 +162,9 @@ def resolve_path(
     found = None
     if present:
         # The way up has as many rows as the path has parts.
+        if "path_key" in df.columns:
+            up = [r["_key"] for r in steps.select("_key").collect()]
+            df = df.where(F.col("path_key").isin(up))
         on_the_way = df.withColumn("_key", paths.compare_key(F.col("path"))).select(
             "_key", F.struct(order, "path").alias("_at"), *present
         ).join(F.broadcast(steps), "_key")

@@ -42,6 +42,8 @@ class Options:
     instructions: str = triage.INSTRUCTIONS
     #: Name of the drive, for trees whose paths do not begin with one.
     drive: str | None = None
+    #: The drives that a phase works on; the files of all others stay as they are.
+    drives: list[str] | None = None
     #: Name of the model: replies of another one do not count as given.
     model: str = ""
     #: Model calls between two writes of their replies.
@@ -135,10 +137,11 @@ def apply_edits(df: DataFrame, edits: DataFrame, order: str | None = None) -> Da
         c: F.coalesce(f"_{c}", c) for c in last}).select(*df.columns)
 
 
-def mark_duplicates(spark: SparkSession, table: str) -> DataFrame:
+def mark_duplicates(spark: SparkSession, table: str, options: Options | None = None) -> DataFrame:
     """Mark duplicates in the table; returns the summary."""
-    tables.write_table(duplicates.mark_duplicates(tables.read_table(spark, table)), table)
-    return duplicates.duplicate_summary(tables.read_table(spark, table))
+    drives = (options or Options()).drives
+    tables.write_table(duplicates.mark_duplicates(tables.read_table(spark, table, drives)), table, drives)
+    return duplicates.duplicate_summary(tables.read_table(spark, table, drives))
 
 
 def rate(
@@ -147,14 +150,14 @@ def rate(
     """Rate the rows without a recommendation, in batches, with the caller's scorer."""
     o = options or Options()
     work = Work(spark, table)
-    marked = duplicates.mark_duplicates(tables.read_table(spark, table))
+    marked = duplicates.mark_duplicates(tables.read_table(spark, table, o.drives))
     rows = work.stored(triage.triage_rows(marked, o.batch_size), "triage_rows")
     prompts = triage.with_prompt(triage.assemble(rows, triage.ITEM_FIELDS), o.instructions)
     calls = work.stored(prompts.select("drive_id", "batch_id", "prompt"), "prompts")
     replies = _ask(calls, table, triage.triage_answer(scorer), ["prompt"], o, "rate").drop("prompt")
     rated = triage.apply_replies(rows, replies).drop("batch_id", "batch_pos")
     rest = triage.needs_no_triage(marked)
-    tables.write_table(rest.unionByName(rated, allowMissingColumns=True), table)
+    tables.write_table(rest.unionByName(rated, allowMissingColumns=True), table, o.drives)
 
 
 def summarize(
@@ -167,7 +170,7 @@ def summarize(
     decoded here, PDF, Word, Excel and image files by `decoder`, which yields their pieces.
     """
     o, work = options or Options(), Work(spark, table)
-    df = ensure_columns(tables.read_table(spark, table), ["summary", "pdf_complexity", "source_uri"])
+    df = ensure_columns(tables.read_table(spark, table, o.drives), ["summary", "pdf_complexity", "source_uri"])
     # One row per drive and path, whole and the first: the same file is summarised once.
     first = F.min(F.struct(F.coalesce("row_seq", F.lit(2 ** 63 - 1)).alias("at"), F.coalesce(
         "source_uri", "path").alias("uri"), "extension", "pdf_complexity"))
@@ -186,7 +189,7 @@ def summarize(
     done = work.stored(done.select(*content.KEY, content.summary_text(
         *(F.col(c) for c in ("kind", "content", "reply", "error"))).alias("summary")), "summaries")
     out = content.fold_outcomes(df, done, "summary", content.KEY, only_blank=True)
-    tables.write_table(content.fill_pdf_complexity(out, facts, content.KEY), table)
+    tables.write_table(content.fill_pdf_complexity(out, facts, content.KEY), table, o.drives)
 
 
 class Organised(NamedTuple):
@@ -203,7 +206,7 @@ def organise(
     Raises, and changes nothing, when a call fails twice; the replies there are stay known.
     """
     o = options or Options()
-    df, work = tables.read_table(spark, table), Work(spark, table)
+    df, work = tables.read_table(spark, table, o.drives), Work(spark, table)
     eligible = work.stored(organize.organize_eligible(df), "organizable")
     batches = work.stored(organize.organize_batches(eligible, o.batch_size), "organize_batches")
     steps = {propose: "propose", merge: "merge"}
@@ -218,14 +221,14 @@ def organise(
     organize.check_replies(replies, "assignment calls", ["drive_id", "batch_id"])
     assigned = work.stored(organize.apply_assignments(
         df, eligible, organize.parse_assignments(replies)), "assigned")
-    tables.write_table(assigned.drop("assigned"), table)
+    tables.write_table(assigned.drop("assigned"), table, o.drives)
     return Organised(taxonomy, assigned.where("assigned").count())
 
 
 def copy(spark: SparkSession, table: str, dest_root: str, options: Options | None = None) -> DataFrame:
     """Copy the kept files, verify them, extend the registry; returns the counts."""
     o = options or Options()
-    df, work = tables.read_table(spark, table), Work(spark, table)
+    df, work = tables.read_table(spark, table, o.drives), Work(spark, table)
     plan = work.stored(recovery.copy_plan(
         recovery.copy_eligible(df), dest_root, archive_prefix=o.archive_prefix), "copy_plan")
     copied = work.stored(recovery.run_copies(plan, o.concurrency), "copied")
@@ -236,7 +239,7 @@ def copy(spark: SparkSession, table: str, dest_root: str, options: Options | Non
         run = f"{table.rstrip('/')}@{tables.last_version(spark, table)}"
         tables.append_registry(recovery.registry_rows(verified, stamp), o.registry, run)
     tables.write_table(
-        content.fold_outcomes(df, verified, "copy_status", ["drive_id", "path"]), table)
+        content.fold_outcomes(df, verified, "copy_status", ["drive_id", "path"]), table, o.drives)
     return recovery.copy_counts(verified)
 
 
@@ -278,7 +281,9 @@ def delete_plan(spark: SparkSession, table: str, manifest_folder: str) -> tuple[
 
 
 def resolve(spark: SparkSession, table: str, path: str) -> DataFrame:
-    return hierarchy.resolve_path(tables.read_table(spark, table), path, ["review", "decision"])
+    """Effective review and decision of one path; only row groups on its way up are read."""
+    return hierarchy.resolve_path(
+        tables.read_table(spark, table, with_key=True), path, ["review", "decision"])
 
 
 def duplicates_report(spark: SparkSession, files: list[str], folder: str) -> DataFrame:

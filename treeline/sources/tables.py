@@ -11,7 +11,7 @@ from treeline.operators.deletion import manifest_name
 from treeline.schema import (
     INVENTORY, MANIFEST_COLUMNS, REGISTRY, REPORT_COLUMNS, conform, text_schema,
 )
-from treeline.sources import records
+from treeline.sources import records, snapshots
 
 # Quotes are doubled, values keep their spaces, and empty text stays empty.
 CSV = {
@@ -100,48 +100,29 @@ def read_report_input(spark: SparkSession, files: list[str]) -> DataFrame:
     return rows.withColumn("is_dir", F.lower("is_dir") == "true")
 
 
-# Inventory tables: a folder with one sub-folder per version. A phase reads the last
-# version and writes the next; nothing that is being read is ever overwritten.
+# Inventory tables: a phase reads the last version and writes the next, see sources.snapshots.
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    place = hadoop(folder)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(place):
-        return []
-    found = []
-    for entry in fs.listStatus(place):
-        name = entry.getPath().getName()
-        if name.startswith("v=") and fs.exists(hadoop(entry.getPath(), "_SUCCESS")):
-            found.append(int(name[2:]))
-    return sorted(found)
-
-
-def read_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The last complete version of an inventory table; empty when there is none."""
-    versions = _versions(spark, folder)
-    if not versions:
-        return spark.createDataFrame([], INVENTORY)
-    return spark.read.option("mergeSchema", "true").parquet(f"{folder}/v={versions[-1]}")
+def read_table(
+    spark: SparkSession, folder: str, drives: list[str] | None = None, with_key: bool = False
+) -> DataFrame:
+    """The last version of an inventory table, or some drives of it; empty when there is none."""
+    found = snapshots.read(spark, folder, drives, with_key)
+    return spark.createDataFrame([], INVENTORY) if found is None else found
 
 
-def write_table(df: DataFrame, folder: str) -> int:
-    """Write the next version and return its number."""
-    versions = _versions(df.sparkSession, folder)
-    number = versions[-1] + 1 if versions else 0
-    df.write.mode("overwrite").parquet(f"{folder}/v={number}")
-    return number
+def write_table(df: DataFrame, folder: str, drives: list[str] | None = None) -> int:
+    """Write the next version, or only these drives of it, and return its number."""
+    return snapshots.write(df, folder, drives)
 
 
-def append_rows(df: DataFrame, folder: str) -> None:
-    """Add rows to the last version of an inventory table."""
-    versions = _versions(df.sparkSession, folder)
-    df.write.mode("append").parquet(f"{folder}/v={versions[-1] if versions else 0}")
+def append_rows(df: DataFrame, folder: str) -> int:
+    """Add rows to an inventory table as its next version."""
+    return snapshots.append(df, folder)
 
 
 def last_version(spark: SparkSession, folder: str) -> int | None:
-    versions = _versions(spark, folder)
-    return versions[-1] if versions else None
+    found = snapshots.last(spark, folder)
+    return None if found is None else found.number
 
 
 # The registry: a folder with one sub-folder per append. Only complete ones are read.
