@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from treeline.functions.replies import parse_items, usable
+from treeline.functions.replies import normalised, parse_items
 from treeline.operators import batches, duplicates, triage
 from treeline.sources import ledger
 from treeline.schema import conform
@@ -83,7 +83,18 @@ def test_reply_parsing(spark):
     out = df.select("i", F.size(parse_items(F.col("t"), triage.REPLY_KEYS)).alias("n")).orderBy("i").collect()
     got = [None if r.n is None or r.n < 0 else r.n for r in out]
     assert got == [n for _, n in REPLIES]
-    assert [usable(t, triage.REPLY_KEYS) for t, _ in REPLIES] == [n is not None for _, n in REPLIES]
+    assert [normalised(t, triage.REPLY_KEYS) is not None for t, _ in REPLIES] == [n is not None for _, n in REPLIES]
+
+
+def test_the_plan_reads_what_the_worker_has_parsed(spark):
+    """Repeated keys, numbers beyond a double, lone surrogates: one reading; NaN is refused by both."""
+    item = '{"path": "first", "path": "last", "recommendation": "SKIP", "confidence": %s, "comment": "\\ud800 \u00e9"}'
+    for number, want in (("0.70", "0.70"), ("1e999", "1e999"), ("12345678901234567890", "12345678901234567890")):
+        reply = normalised(f"```json\n[{item % number}]\n```", triage.REPLY_KEYS)
+        row = spark.createDataFrame([(reply,)], "reply string").select(
+            parse_items(F.col("reply"), triage.REPLY_KEYS).alias("i")).first()
+        assert (row.i[0]["path"], row.i[0]["confidence"]) == ("last", want)
+    assert normalised(f"[{item % 'NaN'}]", triage.REPLY_KEYS) is None
 
 
 def numbers(n):

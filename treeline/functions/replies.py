@@ -12,6 +12,7 @@ from treeline.fixed_values import FENCE_CLOSE, FENCE_OPEN
 from treeline.functions.values import strip
 
 _ITEMS = "array<array<map<string,string>>>"
+_FENCES = re.compile(f"{FENCE_OPEN}|{FENCE_CLOSE}", re.IGNORECASE)
 
 
 def unfenced(text: Column) -> Column:
@@ -43,13 +44,20 @@ def _has_all(item: Column, required: list[str]) -> Column:
     return ok
 
 
-def usable(text: str, required: list[str]) -> bool:
-    """The same test for one reply inside a Python worker, to decide on a retry."""
-    body = re.sub(FENCE_OPEN, "", text.strip(), flags=re.IGNORECASE)
-    body = re.sub(FENCE_CLOSE, "", body.strip())
+def _refused(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def normalised(text: str, required: list[str]) -> str | None:
+    """A usable reply as plain JSON text, else null; for the worker that asks.
+
+    What the worker hands on is written anew from what it has parsed, so `parse_items` reads the
+    same items from it: of two values of one key the last, no NaN or Infinity, numbers as they were written.
+    """
+    body = _FENCES.sub("", text.strip()).strip()
     try:
-        items = json.loads(body)
+        items = json.loads(body, parse_constant=_refused, parse_float=str, parse_int=str)
     except ValueError:
-        return False
-    return isinstance(items, list) and all(
-        isinstance(i, dict) and all(k in i for k in required) for i in items)
+        return None
+    whole = isinstance(items, list) and all(isinstance(i, dict) and i.keys() >= set(required) for i in items)
+    return json.dumps(items) if whole else None

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline import fixed_values as fixed
-from treeline.functions.replies import parse_items, usable
+from treeline.functions.replies import normalised, parse_items
 from treeline.functions.values import blank, in_values
 from treeline.operators.batches import assemble, number_batches
 from treeline.operators.hierarchy import resolve
@@ -128,8 +128,7 @@ def assign_batches(
     A batch whose reply is unusable twice has a null reply.
     """
     def checked(prompt: str) -> str | None:
-        reply = assign(prompt)
-        return reply if usable(reply, REPLY_KEYS) else None
+        return normalised(assign(prompt), REPLY_KEYS)
 
     prompts = batches.withColumn("prompt", F.concat(
         F.lit("Assign each file a relative path within one of these categories.\n"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from treeline import fixed_values as fixed
 from treeline.functions import paths
-from treeline.functions.replies import parse_items, usable
+from treeline.functions.replies import normalised, parse_items
 from treeline.functions.values import is_true, unset
 from treeline.operators.batches import assemble, number_batches
 from treeline.schema import ensure_columns
@@ -62,8 +62,8 @@ def triage_answer(scorer: Scorer) -> Callable[[str], tuple[str | None, str | Non
         error = None
         for text in (prompt, prompt + STRICTER):
             try:
-                reply = scorer(text)
-                if usable(reply, REPLY_KEYS):
+                reply = normalised(scorer(text), REPLY_KEYS)
+                if reply is not None:
                     return reply, None
                 error = "unusable reply"
             except Exception as e:  # any failure of the caller's model counts
