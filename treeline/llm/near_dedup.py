@@ -14,13 +14,17 @@ pairs of a group:
    the one with which it shares most. Confirmed links give components.
 2. In every key whose nodes are still in several components, each node outside of the
    most frequent one is sent to all blocks, of about `block` nodes each, of the components
-   (with the nodes that met their hubs in vain) to which the key's nodes belong. A block counts all intersections at once and returns at most one link for each
-   node and component. So every pair that shares a key and lies in two components is compared.
+   (with the nodes that met their hubs in vain) to which the key's nodes belong. Components are
+   cut by the size of their sets first, into classes a link spans two neighbours of at most, and a node
+   goes to its own class and those beside it. A block counts all intersections at once and
+   returns at most one link for each node and component. So every pair that shares a key, lies
+   in two components and has sizes that allow a link is compared.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +41,8 @@ PERCENT = 80
 TABLES = 12
 DEPTH = 3
 BLOCK = 256
+#: Homes of a key that travel as one row.
+HOMES = 256
 #: Nodes that one task compares with a block at a time.
 PROBES = 1024
 
@@ -179,7 +185,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id bigint, n_shingles bigint, digest binary, elements array<bigint>"), "sketches")
     total, n_parts = sketches.count(), parts(docs)
     groups = stored(sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("elements").alias("elements")), "groups")
+        F.min("doc_id").alias("node"), F.count("*").alias("n"), F.first("elements").alias("elements"),
+        F.first("n_shingles").alias("size")), "groups")
     comps = _components(rows, groups, width, percent, tables, block, n_parts)
     known = groups.select("digest", "node", "n").join(comps, "node", "left").select(
         "digest", F.coalesce("comp", "node").alias("comp"), "n", F.coalesce("comp", "node").alias("node_comp"),
@@ -236,21 +243,38 @@ def _components(rows: DataFrame, groups: DataFrame, width: int, percent: int, ta
     hub_comp = comps.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
     at_home = stored(linked.join(hub_comp, "hub", "left").select(
         "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("comp", "hub_comp", "hub").alias("home")), "homes")
-    large = at_home.groupBy("home").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    # Linked sets differ in size by 100 / percent at most; classes are a little wider than that.
+    wide = math.log(101 / percent)
+    sized = groups.select("node", F.floor(F.log(F.col("size").cast("double")) / wide).cast("int").alias("cls"))
+    at_home = stored(at_home.join(sized, "node"), "homes")
+    own = ["home", "cls"]
+    large = at_home.groupBy(*own).agg(F.count("*").alias("n")).where(F.col("n") > block)
     part = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("n", F.lit(1)) / block))
-    placed = stored(lookup(at_home, large, ["home"], "n", at_home.count(), n_parts).select(
-        "node", "comp", "home", F.xxhash64("home", part).alias("block")), "placed")
-    apart = keys.drop("n").join(placed.select("node", "comp", "home"), "node")
+    placed = stored(lookup(at_home, large, own, "n", at_home.count(), n_parts).select(
+        "node", "comp", *own, F.xxhash64(*own, part).alias("block")), "placed")
+    apart = keys.drop("n").join(placed.select("node", "comp", *own), "node")
     per_comp = apart.groupBy("key", "comp").agg(F.count("*").alias("m"))
     mixed = per_comp.groupBy("key").agg(
         F.max(F.struct("m", "comp")).alias("most"), F.count("*").alias("comps"), F.sum("m").alias("n")).where(
         "comps > 1").select("key", F.col("most.comp").alias("most"), "n")
     mixed = stored(lookup(apart, mixed, ["key"], "n", total, n_parts).where("most is not null"), "mixed")
     # First which homes a node has to see, then all their blocks: few homes have a key.
-    homes = mixed.select("key", "home").distinct()
-    outside = mixed.where("comp <> most").select("key", "node", "comp")
-    sees = outside.join(homes, "key").select("node", "comp", "home").distinct()
-    probes = stored(sees.join(placed.select("home", "block").distinct(), "home").select(
+    homes = stored(mixed.select("key", "home", "cls").distinct(), "key_homes")
+    per_key = homes.groupBy("key").agg(F.count("*").alias("n"))
+    outside = mixed.where("comp <> most").select("key", "node", "comp", F.col("cls").alias("own_cls"))
+    beside = F.abs(F.col("cls") - F.col("own_cls")) <= 1
+    # The homes of a key travel as one row, and a node's homes from all its keys meet in one set; a key
+    # with more of them than such a row should hold gives its homes one by one.
+    few = homes.join(per_key.where(F.col("n") <= HOMES), "key").groupBy("key").agg(
+        F.collect_list(F.struct("home", "cls")).alias("homes"))
+    packed = outside.join(few, "key").select("node", "comp", F.filter(
+        "homes", lambda h: F.abs(h["cls"] - F.col("own_cls")) <= 1).alias("homes"))
+    packed = packed.groupBy("node", "comp").agg(F.array_distinct(F.flatten(F.collect_list("homes"))).alias("homes"))
+    packed = packed.select("node", "comp", F.explode("homes").alias("h")).select("node", "comp", "h.home", "h.cls")
+    many = homes.join(per_key.where(F.col("n") > HOMES).select("key"), "key")
+    single = outside.join(many, "key").where(beside).select("node", "comp", "home", "cls")
+    sees = packed.unionByName(single).distinct()
+    probes = stored(sees.join(placed.select(*own, "block").distinct(), own).select(
         "node", "comp", "block"), "probes")
     held = placed.join(probes.select("block").distinct(), "block", "left_semi").select("node", "comp", "block")
     second = _links(probes, held, texts, width, percent)
