@@ -78,8 +78,12 @@ def prune_excluded_dirs(
 
 
 def seen_paths(df: DataFrame) -> DataFrame:
-    """Paths an inventory or a manifest holds, for an anti join; a path may occur twice."""
-    return df.where(~unset(F.col("path"))).select("path")
+    """Paths an inventory or a manifest holds, with their drive where it is given, for an anti join.
+
+    A path may occur twice.
+    """
+    drive = [c for c in ("drive_id",) if c in df.columns]
+    return df.where(~unset(F.col("path"))).select(*drive, "path")
 
 
 def new_rows(df: DataFrame, seen: DataFrame, on: list[str] | None = None) -> DataFrame:

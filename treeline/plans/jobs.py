@@ -89,7 +89,7 @@ def scan(spark: SparkSession, root: str, table: str, options: Options | None = N
         exclude_extensions=o.exclude_extensions)
     known = tables.read_table(spark, table)
     fresh = inventory.new_rows(
-        listing.withColumn("drive_id", _drive(o)), known.select("drive_id", "path"), ["drive_id", "path"])
+        listing.withColumn("drive_id", _drive(o)), inventory.seen_paths(known), ["drive_id", "path"])
     last = known.agg(F.max("row_seq")).first()[0]
     numbered = work.stored(tree.number_rows(fresh, 0 if last is None else last + 1), "numbered")
     hashed = work.stored(tree.hash_files(numbered), "hashed")
@@ -107,7 +107,7 @@ def estimate(spark: SparkSession, root: str, table: str, options: Options | None
     listing = conform(tree.list_tree(
         spark, root, Work(spark, table).path("listing"), exclude_dirs=o.exclude_dirs,
         exclude_extensions=o.exclude_extensions).withColumn("drive_id", _drive(o)))
-    seen = tables.read_table(spark, table).select("drive_id", "path")
+    seen = inventory.seen_paths(tables.read_table(spark, table))
     counted = listing.where(
         ~F.col("is_dir") | F.coalesce(F.col("comment") == fixed.COMMENT_EXCLUDED, F.lit(False)))
     return inventory.new_rows(counted, seen, ["drive_id", "path"]).agg(
