@@ -9,25 +9,29 @@ encodes whole texts.
 from __future__ import annotations
 
 import json
-import re
 import sys
 import types
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 
 from treeline.llm.words import buffer, release, spans_hash, words
 
-#: Words that a worker remembers.
-CACHE_WORDS = 300_000
+#: Words that a worker remembers, some 30 bytes each.
+CACHE_WORDS = 1_000_000
 #: Words that it remembers between tasks, whatever runs there next.
-RESTING_WORDS = 50_000
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Words of plain letters, digits and ASCII signs but the apostrophe: they have no other
-#: normal form than lower case, and they part where the kind of character changes.
-_PLAIN = re.compile(rf"[{_LETTERS}0-9!-&(-/:-@\[-`{{-~]+")
-_PART = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+RESTING_WORDS = 500_000
+#: Parts of words in one string for the tokenizer.
+PARTS = 4096
+
+# Kinds of bytes in plain words: letters, digits, signs, and what no plain word has. Letters are
+# those of ASCII and U+00C0 to U+00FF but the two signs among them; the apostrophe is not plain.
+_LETTER, _DIGIT, _SIGN, _ODD = 0, 1, 2, 3
+_KIND = np.full(256, _ODD, dtype=np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC3]] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x27] = _ODD
 
 
 def worker_cache() -> dict:
@@ -57,6 +61,13 @@ def words_apart(path: str) -> bool:
         and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in told["added_tokens"]))
 
 
+def _ranges(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all positions of the ranges in turn, where each range begins among them)."""
+    before = np.cumsum(size) - size
+    total = int(size.sum())
+    return np.repeat(begin - before, size) + np.arange(total), before
+
+
 class Encoder:
     """Ids of texts by one tokenizer file, without special tokens, truncation or padding."""
 
@@ -68,7 +79,10 @@ class Encoder:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.apart = words_apart(path)
-        self.cache: dict[int, bytes] = {}
+        # Words by ascending hash, and where the ids of each stand.
+        self.keys = np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
         if self.apart:
             self.parts = Tokenizer.from_file(path)
             self.parts.no_truncation()
@@ -91,41 +105,90 @@ class Encoder:
         return cache["encoder", path]
 
     def rest(self) -> None:
-        """Between tasks only the words learnt first, mostly the frequent ones, stay."""
-        self.cache = dict(islice(self.cache.items(), RESTING_WORDS))
+        """Between tasks only some of the words stay."""
+        self._keep(RESTING_WORDS)
         release()
 
+    def _keep(self, most: int) -> None:
+        """At most so many words; hashes are as good as random, so the smallest of them stay."""
+        if len(self.keys) > most:
+            self.keys, size = self.keys[:most], self.size[:most]
+            index, self.begin = _ranges(self.begin[:most], size)
+            self.size, self.flat = size, self.flat[index]
+
     def by_library(self, texts: list[str]) -> list[np.ndarray]:
         found = self.whole.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint32) for e in found]
 
-    def _plain(self, found: list[str]) -> list[bytes]:
-        """Ids of plain words, each of their parts encoded once."""
-        cut = [_PART.findall(w.lower()) for w in found]
-        parts = sorted({p for c in cut for p in c})
-        of: dict[str, bytes] = {}
-        for i in range(0, len(parts), 4096):
-            some = parts[i: i + 4096]
-            ids = np.array(self.parts.encode_batch_fast(
-                [" ".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            past = np.flatnonzero(self.ends[ids]) + 1
-            if len(past) != len(some):
-                of.update((p, x.tobytes()) for p, x in zip(some, self.by_library(some)))
-            else:
-                firsts = np.concatenate(([0], past[:-1]))
-                whole = ids.tobytes()
-                of.update((p, whole[4 * a: 4 * b]) for p, a, b in zip(some, firsts.tolist(), past.tolist()))
-        return [b"".join([of[p] for p in c]) for c in cut]
-
-    def _learn(self, hashes: list[int], found: list[str]) -> None:
-        plain, other = [], []
-        for h, w in zip(hashes, found):
-            (plain if _PLAIN.fullmatch(w) and "<|" not in w else other).append((h, w))
-        self.cache.update(zip([h for h, _ in plain], self._plain([w for _, w in plain])))
-        for i in range(0, len(other), 4096):
-            some = other[i: i + 4096]
-            self.cache.update((h, x.tobytes()) for (h, _), x in
-                              zip(some, self.by_library([w for _, w in some])))
+    def _parts_ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids) of lower-case parts of plain words."""
+        index, before = _ranges(starts, ends - starts)
+        past = before + (ends - starts)
+        # One space behind every part, and one string for some thousands of them.
+        text = np.full(len(index) + len(starts), 0x20, np.uint8)
+        text[index - np.repeat(starts - before, ends - starts) + np.repeat(np.arange(len(starts)), ends - starts)] = data[index]
+        edge = past + np.arange(1, len(starts) + 1)
+        cuts = list(range(0, len(starts), PARTS))
+        bounds = [0, *edge[[c - 1 for c in cuts[1:]]].tolist(), len(text)]
+        strings = [text[a:b].tobytes().decode() for a, b in zip(bounds, bounds[1:])]
+        found, sizes = [], []
+        for c, string, e in zip(cuts, strings, self.parts.encode_batch_fast(strings, add_special_tokens=False)):
+            some = string.split()
+            ids = np.array(e.ids, dtype=np.uint32)
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) != len(some):
+                each = self.by_library(some)
+                ids = np.concatenate(each)
+                last = np.cumsum([len(x) for x in each])
+            found.append(ids)
+            sizes.append(np.diff(last, prepend=0))
+        return np.concatenate(found), np.concatenate(sizes)
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Adds distinct words that are not known."""
+        index, begin = _ranges(starts, ends - starts)
+        text, size = data[index], ends - starts
+        of = np.repeat(np.arange(len(starts)), size)
+        kind = _KIND[text]
+        after_c3 = np.zeros(len(text), bool)
+        after_c3[1:] = (text[:-1] == 0xC3) & (of[1:] == of[:-1])
+        # A byte from 0x80 on stands behind 0xC3, which two signs do as well; "<|" begins a special token.
+        odd = (kind == _ODD) | ((text >= 0x80) & (text < 0xC0) & ~after_c3)
+        odd |= after_c3 & ((text == 0x97) | (text == 0xB7))
+        odd[1:] |= (text[1:] == 0x7C) & (text[:-1] == 0x3C)
+        plain = np.ones(len(starts), bool)
+        plain[of[odd]] = False
+
+        sizes = np.zeros(len(starts), np.int64)
+        found: list[np.ndarray] = []
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        mine = plain[of]
+        if mine.any():
+            low = text[mine]
+            upper = ((low >= 0x41) & (low <= 0x5A)) | (after_c3[mine] & (low >= 0x80) & (low <= 0x9E))
+            low[upper] += 32
+            own, word = kind[mine], of[mine]
+            turn = np.ones(len(low), bool)
+            turn[1:] = (own[1:] != own[:-1]) | (own[1:] == _DIGIT) | (word[1:] != word[:-1])
+            first = np.flatnonzero(turn)
+            past = np.append(first[1:], len(low))
+            _, one, place = np.unique(spans_hash(low, first, past), return_index=True, return_inverse=True)
+            ids, n = self._parts_ids(low, first[one], past[one])
+            at, _ = _ranges((np.cumsum(n) - n)[place], n[place])
+            found.append(ids[at])
+            sizes += np.bincount(word[first], weights=n[place], minlength=len(starts)).astype(np.int64)
+        other = np.flatnonzero(~plain)
+        for i in range(0, len(other), PARTS):
+            some = other[i: i + PARTS]
+            each = self.by_library([data[a:b].tobytes().decode() for a, b in zip(starts[some], ends[some])])
+            found += each
+            sizes[some] = [len(x) for x in each]
+        keys = np.concatenate([self.keys, hashes[order]])
+        begin = np.cumsum(sizes[order]) - sizes[order] + len(self.flat)
+        begin, size = np.concatenate([self.begin, begin]), np.concatenate([self.size, sizes[order]])
+        self.flat = np.concatenate([self.flat, *found]).astype(np.uint32)
+        rank = np.argsort(keys, kind="stable")
+        self.keys, self.begin, self.size = keys[rank], begin[rank], size[rank]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, number of ids before each text)."""
@@ -137,22 +200,19 @@ class Encoder:
         starts, ends, counts = words(data, offsets)
         own, first, place = np.unique(
             spans_hash(data, starts, ends), return_index=True, return_inverse=True)
-        keys = own.tolist()
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = [i for i, h in enumerate(keys) if h not in self.cache]
-        if new:
-            at = first[new]
-            self._learn([keys[i] for i in new],
-                        [data[a:b].tobytes().decode() for a, b in zip(starts[at], ends[at])])
-        blobs = [self.cache[h] for h in keys]
-        sizes = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
-        vocabulary = np.frombuffer(b"".join(blobs), dtype=np.uint32)
-        begin = np.cumsum(sizes) - sizes
-        n = sizes[place]
-        before = np.concatenate(([0], np.cumsum(n)))
-        index = np.repeat(begin[place] - before[:-1], n) + np.arange(before[-1])
-        return vocabulary[index], before[counts]
+        if len(self.keys) > CACHE_WORDS:
+            self._keep(RESTING_WORDS)
+        at = np.searchsorted(self.keys, own)
+        known = np.zeros(len(own), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == own[inside]
+        if not known.all():
+            new = first[~known]
+            self._learn(own[~known], data, starts[new], ends[new])
+            at = np.searchsorted(self.keys, own)
+        at = at[place]
+        index, before = _ranges(self.begin[at], self.size[at])
+        return self.flat[index], np.append(before, len(index))[counts]
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return self.encode(*buffer(texts))

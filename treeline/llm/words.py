@@ -7,6 +7,7 @@ carriage return. In UTF-8 those six never occur inside another character.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _BASE = 0x9E3779B97F4A7C15 & ~7 | 5
-_BLOCK = 1 << 21
+_BLOCK = 1 << 20
 
 
 def release() -> None:
@@ -96,6 +97,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+@lru_cache(maxsize=1)
+def _block_powers() -> tuple[np.ndarray, np.ndarray]:
+    return powers(2 * _BLOCK)
+
+
 def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit polynomial hash of data[start:end] for every span; starts ascend.
 
@@ -103,7 +109,7 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     """
     out = np.empty(len(starts), dtype=np.uint64)
     letters = _letters(seed)
-    up, down = powers(min(len(data), 2 * _BLOCK))
+    up, down = _block_powers() if len(data) > _BLOCK // 8 else powers(len(data))
     i = 0
     while i < len(starts):
         low = starts[i]
