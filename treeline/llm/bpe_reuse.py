@@ -3,9 +3,9 @@
 A rolling hash over the bytes cuts texts into chunks of about `chunk_bytes`, wherever the
 cut falls. The words that lie whole inside a chunk are encoded as one piece, once for all
 documents that share the chunk, while the worker remembers it. A word that a cut runs
-through is the join of two chunks: it is encoded again together with a neighbour on each side,
-by the library and in one string, until that agrees with what stands on both sides; where
-no context agrees, the whole document is encoded in one. Tokenizers whose words do not
+through is the join of two chunks: it is encoded again by the library, in one string with its neighbours,
+of which more and more are taken in until what comes out agrees with what stands on both
+sides; a document where not even that agrees is encoded in one. Tokenizers whose words do not
 stand apart have no such joins and encode whole texts.
 """
 
@@ -57,23 +57,44 @@ class ChunkEncoder:
         return [self.known[h] for h in hashes.tolist()]
 
     def _agree(self, data, starts, ends, counts, broken, doc_of) -> tuple[list[bytes], set[int]]:
-        """Ids of the words that cuts run through, and the documents where no join agrees."""
-        left = np.maximum(broken - 1, counts[doc_of])
-        right = np.minimum(broken + 1, counts[doc_of + 1] - 1)
-        alone = [self._pieces(data, starts[at], ends[at]) for at in (left, broken, right)]
-        texts = [data[a:b].tobytes().decode() for a, b in zip(starts[left], ends[right])]
-        distinct = list(dict.fromkeys(texts))
-        whole = dict(zip(distinct, (x.tobytes() for x in self.encoder.by_library(distinct))))
-        odd = set()
-        for i, text in enumerate(texts):
-            want = alone[1][i]
-            if left[i] < broken[i]:
-                want = alone[0][i] + want
-            if right[i] > broken[i]:
-                want += alone[2][i]
-            if whole[text] != want:
-                odd.add(int(doc_of[i]))
-        return alone[1], odd
+        """Ids of the words that cuts run through, and the documents where no join agrees.
+
+        A join is encoded with `reach` words on each side; what the library gives has to begin
+        and end with what stands there, and the rest are the ids of the join. Where it does not,
+        the reach is doubled, up to the whole document.
+        """
+        out, odd = [b""] * len(broken), set()
+        rest, reach = np.arange(len(broken)), 1
+        while len(rest):
+            own, docs = broken[rest], doc_of[rest]
+            left = np.maximum(own - reach, counts[docs])
+            right = np.minimum(own + reach, counts[docs + 1] - 1)
+            texts = [data[a:b].tobytes().decode() for a, b in zip(starts[left], ends[right])]
+            distinct = list(dict.fromkeys(texts))
+            whole = dict(zip(distinct, (x.tobytes() for x in self.encoder.by_library(distinct))))
+            before = self._runs(data, starts, ends, left, own)
+            behind = self._runs(data, starts, ends, own + 1, right + 1)
+            open_ = []
+            for k, i in enumerate(rest.tolist()):
+                ids, a, b = whole[texts[k]], before[k], behind[k]
+                if len(a) + len(b) <= len(ids) and ids.startswith(a) and ids.endswith(b):
+                    out[i] = ids[len(a): len(ids) - len(b)]
+                elif left[k] == counts[docs[k]] and right[k] == counts[docs[k] + 1] - 1:
+                    odd.add(int(docs[k]))
+                else:
+                    open_.append(i)
+            rest, reach = np.array(open_, dtype=np.int64), 2 * reach
+        return out, odd
+
+    def _runs(self, data, starts, ends, first, past) -> list[bytes]:
+        """Ids of the words from first to past, nothing where these are equal."""
+        out = [b""] * len(first)
+        at = np.flatnonzero(past > first)
+        if len(at):
+            order = at[np.argsort(first[at], kind="stable")]
+            for i, x in zip(order.tolist(), self._pieces(data, starts[first[order]], ends[past[order] - 1])):
+                out[i] = x
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, number of ids before each text)."""
