@@ -1,12 +1,13 @@
 """Exact, near and substring deduplication against brute force."""
 
 import hashlib
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from treeline.llm import exact_dedup, near_dedup
+from treeline.llm import exact_dedup, near_dedup, stages
 from treeline.llm.exact_dedup import exact_groups
 from treeline.llm.graph import components
 from treeline.llm.near_dedup import near_groups
@@ -147,3 +148,54 @@ def test_hot_lookup_equals_join(spark):
     got = lookup(rows, table, ["k"], "n", 2000, 4)
     want = rows.join(table, "k", "left")
     assert sorted(got.select("id", "least").collect()) == sorted(want.select("id", "least").collect())
+
+
+def test_stages_decide_per_row(spark):
+    """Equal and missing ids: one row of each text stays, and no text that differs goes with another."""
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long), (1, long), (1, other), (2, long), (None, other), (None, "no id"), (None, "no id"), (3, other + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "x") for i, t in rows],
+                                 "doc_id bigint, text string, lang string, source string, n_chars int, row string")
+    exact = stages.exact_dedup(spark, docs, "")
+    assert exact.columns == docs.columns
+    key = lambda r: (repr(r[0]), r[1])
+    assert sorted(((r.doc_id, r.text) for r in exact.collect()), key=key) == sorted(
+        [(1, long), (1, other), (None, "no id"), (3, other + " more")], key=key)
+    near = stages.near_dedup(spark, exact, "")
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=key) == sorted(
+        [(1, long), (1, other), (None, "no id")], key=key)
+    plain = docs.where("doc_id in (2, 3)")
+    assert stages.with_own_ids(plain)[1] == "doc_id" and stages.near_dedup(spark, plain, "").count() == 2
+
+
+@pytest.mark.parametrize("homes", [0, 256])
+def test_homes_one_by_one_or_as_a_row(spark, monkeypatch, homes):
+    """Near copies of several texts that share a passage: the same components either way."""
+    monkeypatch.setattr(near_dedup, "HOMES", homes)
+    draw = random.Random(8)
+    shared = [f"s{i}" for i in range(30)]
+    rows = []
+    for g in range(12):
+        base = shared + [f"g{g}_{i}" for i in range(20 + 3 * g)]
+        for c in range(6):
+            words = list(base)
+            for _ in range(draw.randint(0, 3)):
+                words[draw.randrange(len(words))] = f"x{draw.random()}"
+            rows.append((10 * g + c, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs, width=2, block=3).collect()}
+    sets = {i: {tuple(t.split()[k:k + 2]) for k in range(len(t.split()) - 1)} for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert got == {i: root(i) for i in sets}

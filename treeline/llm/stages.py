@@ -9,7 +9,7 @@ from treeline.llm import quality_classifier
 from treeline.llm.exact_dedup import exact_groups
 from treeline.llm.near_dedup import near_groups
 from treeline.llm.packing import pack
-from treeline.llm.store import remainder
+from treeline.llm.store import remainder, stored
 from treeline.llm.substring_dedup import remove_repeats
 
 
@@ -21,20 +21,46 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.keep_good(docs, model)
 
 
+def with_own_ids(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(docs, name of a column in which every row has a number of its own).
+
+    That is doc_id where no row lacks or repeats one. Else rows are numbered by id (without one:
+    last), then by text, and the numbered table is stored, so a number means one row.
+    """
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).collect():
+        return docs, "doc_id"
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    text = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), text)
+    return stored(ordered.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def _kept(docs: DataFrame, own: str, decided: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that are not decided against; every decision is for one row."""
+    gone = decided.where(~F.col("kept")).select(F.col("doc_id").alias(own))
+    return docs.join(gone, own, "left_anti").select(columns)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, that with the smallest id, of each group of equal texts."""
-    groups = exact_groups(docs)
-    gone = groups.where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row, that with the smallest id, of each group of equal texts.
+
+    Of rows with that id one stays; rows of one id with different texts are judged each for
+    itself. A row without an id goes if another one has its text and an id.
+    """
+    rows, own = with_own_ids(docs)
+    return _kept(rows, own, exact_groups(rows, own), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near duplicates.
 
-    Shingles have five words, and the similarity is 0.8 or more.
+    Shingles have five words, and the similarity is 0.8 or more. Rows that share an id are
+    documents of their own, one without an id comes behind all others. Rows without any word stay.
     """
-    gone = near_groups(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows, own = with_own_ids(docs)
+    return _kept(rows, own, near_groups(rows, own), docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
