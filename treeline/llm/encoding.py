@@ -20,7 +20,7 @@ from treeline.llm.words import buffer, release, spans_hash, words
 #: Words that a worker remembers, some 30 bytes each.
 CACHE_WORDS = 1_000_000
 #: Words that it remembers between tasks, whatever runs there next.
-RESTING_WORDS = 500_000
+RESTING_WORDS = 200_000
 #: Parts of words in one string for the tokenizer.
 PARTS = 4096
 
@@ -201,7 +201,7 @@ class Encoder:
         own, first, place = np.unique(
             spans_hash(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) > CACHE_WORDS:
-            self._keep(RESTING_WORDS)
+            self._keep(CACHE_WORDS // 2)
         at = np.searchsorted(self.keys, own)
         known = np.zeros(len(own), bool)
         inside = at < len(self.keys)

@@ -6,6 +6,7 @@ carriage return. In UTF-8 those six never occur inside another character.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +26,11 @@ _BLOCK = 1 << 20
 
 def release() -> None:
     """Give memory that a finished task no longer uses back to the system."""
+    _block_powers.cache_clear()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # freed arrays stay with the allocator else
+    if trim is not None:
+        trim(0)
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
