@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from treeline.llm import exact_dedup, near_dedup, stages
+from treeline.llm import exact_dedup, near_dedup, stages, substring_dedup
 from treeline.llm.exact_dedup import exact_groups
 from treeline.llm.graph import components
 from treeline.llm.near_dedup import near_groups
@@ -199,3 +202,36 @@ def test_homes_one_by_one_or_as_a_row(spark, monkeypatch, homes):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     assert got == {i: root(i) for i in sets}
+
+
+def _one_batch(n_texts, n_words, seed=3):
+    rng = np.random.default_rng(seed)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 50_000, n_words)) for _ in range(n_texts)]
+    for i in range(0, n_texts - 7, 7):
+        texts[i + 7] = texts[i][: len(texts[i]) // 2] + " " + texts[i + 7]
+    left = pa.table({"doc_id": pa.array(np.arange(n_texts)[::-1].copy(), pa.int64()), "text": texts[::-1]})
+    right = pa.table({"batch": pa.array([0], pa.int32()), "hashes": pa.array(
+        [substring_dedup._windows(pa.array(texts[3:4]), 50)[0].tobytes()], pa.binary())})
+    return left, right
+
+
+def test_a_batch_of_many_blocks_is_one_batch(monkeypatch):
+    left, right = _one_batch(60, 130)
+    whole = substring_dedup._apply(50, ["text"])(left, right)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(substring_dedup, "_AT_ONCE", 64)
+    assert substring_dedup._apply(50, ["text"])(left, right).to_pylist() == whole.to_pylist()
+    removed = dict(zip(whole["doc_id"].to_pylist(), whole["n_removed"].to_pylist()))
+    assert removed[3] == 130 and removed[7] > 50 and removed[0] == 0
+
+
+def test_what_a_batch_holds_is_a_few_times_its_text():
+    left, right = _one_batch(2_000, 1_200)
+    size = sum(len(x) for x in left["text"].to_pylist())
+    tracemalloc.start()
+    try:
+        substring_dedup._apply(50, [])(left, right)
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert size > 4_000_000 and held < 10 * size, held / size
