@@ -1,6 +1,7 @@
 import csv
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -264,6 +265,52 @@ def test_a_job_that_dies_asks_again_only_what_is_open(spark, tmp_path):
     assert tables.read_table(spark, table).where("recommendation = 'SKIP'").count() == 40
 
 
+def test_many_waves_are_no_many_jobs(spark, tmp_path):
+    calls = spark.range(300).select(F.concat(F.lit("p"), F.col("id") % 200).alias("prompt"))
+    calls.write.parquet(str(tmp_path / "calls"))
+    calls, folder = spark.read.parquet(str(tmp_path / "calls")), str(tmp_path / "ledger")
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def first(prompt):
+        return (None, "busy") if prompt.endswith("7") else ("one " + prompt, None)
+
+    def second(prompt):
+        (seen / f"{prompt}_{os.getpid()}").write_text("")
+        return "two " + prompt, None
+
+    context = spark.sparkContext
+    context.setJobGroup("waves", "")
+    try:
+        ledger.ask_all(calls, folder, first, ["prompt"], wave=2)
+        asked = ledger.ask_all(calls, folder, second, ["prompt"], wave=2).collect()
+        assert len(context.statusTracker().getJobIdsForGroup("waves")) < 40
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(asked) == 300 and all(r.error is None for r in asked)
+    assert all(r.reply == ("two " if r.prompt.endswith("7") else "one ") + r.prompt for r in asked)
+    attempts = ledger.read_ledger(spark, folder).groupBy("digest").count().collect()
+    assert sorted(r["count"] for r in attempts) == [1] * 180 + [2] * 20 and len(os.listdir(seen)) == 20
+
+
+def test_a_cap_on_callers_holds_over_many_waves(spark, tmp_path):
+    calls, folder = spark.range(40).select(F.col("id").cast("string").alias("prompt")), str(tmp_path / "ledger")
+    busy = tmp_path / "busy"
+    busy.mkdir()
+
+    def answer(prompt):
+        mark = busy / prompt
+        mark.write_text("")
+        time.sleep(0.02)
+        n = len(os.listdir(busy))
+        mark.unlink()
+        return str(n), None
+
+    asked = ledger.ask_all(calls, folder, answer, ["prompt"], wave=8, concurrency=2).collect()
+    assert len(asked) == 40 and {r.reply for r in asked} <= {"1", "2"}
+    assert ledger.read_ledger(spark, folder).count() == 40 and not os.listdir(f"{folder}/_open")
+
+
 def test_two_drives_with_one_path_keep_their_own(spark, tmp_path):
     table = str(tmp_path / "t")
     for name, text in (("d", "of d"), ("e", "of e")):

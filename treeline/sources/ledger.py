@@ -1,13 +1,16 @@
 """A lasting record of model calls: what has been answered once is not asked again.
 
-A call is known by a digest of the model's name and everything it is sent. Calls are made in
-waves, each of which is written before the next one starts, so a job that dies loses one wave at
-most. Every row of the table is a true reply or the error of one attempt; it stays right
-whichever other rows are there, so a wave that is written in part needs no repair.
+A call is known by a digest of the model's name and everything it is sent. The open calls are
+dealt to small tasks, each of which writes its replies where they stay as soon as it has them; all
+tasks that run at once have about one wave of calls, so a job that dies loses one wave at most. Every row of
+the table is a true reply or the error of one attempt; it stays right whichever other rows are there,
+so a job that is written in part needs no repair.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,8 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEDGER = "digest string, reply string, error string, run string, wave int"
-#: Calls between two writes.
+#: Calls that may be made and not yet written.
 WAVE = 1000
+#: Tasks of one Spark job.
+TASKS = 10_000
 
 #: (reply, None) or (None, error) for the values of one call.
 Answer = Callable[..., tuple[str | None, str | None]]
@@ -43,16 +48,15 @@ def open_calls(calls: DataFrame, ledger: DataFrame) -> DataFrame:
         ledger.where(F.col("reply").isNotNull()).select("digest"), "digest", "left_anti")
 
 
-def _asked(calls: DataFrame, answer: Answer, inputs: list[str], concurrency: int | None) -> DataFrame:
+def _asked(calls: DataFrame, answer: Answer, inputs: list[str], tasks: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [answer(*values) for values in zip(*(frame[c] for c in inputs))]
             yield pd.DataFrame({"digest": frame["digest"].to_list(), "reply": [f[0] for f in found],
                                 "error": [f[1] for f in found]})
 
-    narrow = calls.select("digest", *inputs)
-    n = concurrency or int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return narrow.repartition(n, "digest").mapInPandas(run, "digest string, reply string, error string")
+    return calls.select("digest", *inputs).repartition(tasks, "digest").mapInPandas(
+        run, "digest string, reply string, error string")
 
 
 def ask_all(
@@ -63,18 +67,33 @@ def ask_all(
 
     `calls` is a stored table whose columns `inputs` are what is sent; equal calls are made once. Only
     replies are final: a call that failed is made again by the next run, and its error
-    stands until then. `concurrency` caps the number of parallel callers. A task that is
-    repeated asks again, so the model has to allow repeats.
+    stands until then. `concurrency` caps the number of parallel callers, which else is that of
+    Spark's task slots. Each has about wave / callers calls, one at least, between two
+    writes. A task that is repeated asks again, so the model has to allow repeats.
     """
     spark = calls.sparkSession
     named = calls.withColumn("digest", call_digest(inputs, model))
-    left = open_calls(named, read_ledger(spark, folder))
-    waves = max(1, -(-left.count() // wave))
-    part = F.pmod(F.xxhash64("digest"), F.lit(waves))
-    for k in range(waves):
-        # What earlier runs answered is known from the start: waves do not overlap.
-        done = _asked(left.where(part == k), answer, inputs, concurrency)
-        done.withColumns({"run": F.lit(run), "wave": F.lit(k)}).write.mode("append").parquet(folder)
+    left = open_calls(named, read_ledger(spark, folder)).select("digest", *inputs)
+    callers = concurrency or spark.sparkContext.defaultParallelism
+    tasks = max(1, math.ceil(left.count() / max(1, wave // callers)))
+    # With a cap, a job has no more tasks than may run at once.
+    per_job = min(tasks, concurrency or TASKS)
+    jobs = math.ceil(tasks / per_job)
+    opened = left.withColumn("job", F.pmod(F.xxhash64("digest"), F.lit(jobs)).cast("int"))
+    name = uuid.uuid4().hex
+    if jobs > 1:
+        # Each job reads its own calls only. To readers of the ledger a name with a leading underscore is hidden.
+        opened.repartition("job").write.partitionBy("job").parquet(f"{folder}/_open/{name}")
+        opened = spark.read.schema(opened.schema).parquet(f"{folder}/_open/{name}")
+    for k in range(jobs):
+        done = _asked(opened.where(F.col("job") == k), answer, inputs, per_job)
+        number = F.lit(k * per_job) + F.spark_partition_id()
+        # Version 2 of the committer: what a task has written stays, whatever becomes of its job.
+        done.withColumns({"run": F.lit(run), "wave": number}).write.mode("append").option(
+            "mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(folder)
+    if jobs > 1:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_open/{name}")
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
     return outcomes(named, read_ledger(spark, folder)).drop("digest")
 
 
