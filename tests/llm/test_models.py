@@ -6,6 +6,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from treeline.llm import brown_lm, quality_classifier
@@ -110,3 +112,87 @@ def test_classifier_sample_skips_only_what_does_not_fit(spark):
         assert [len(t) for t in texts] == [100] * (most_bytes // 100)
         assert sum(labels) == most_bytes // 200
     assert quality_classifier.fitting([(1, 9), (1, 4), (0, 20), (1, 5)], 10) == [1, 3]
+
+
+def _alternating(spark):
+    """Words of two kinds that follow each other, with one ending."""
+    draw = np.random.default_rng(3)
+    rows = [(i, " ".join(f"{'ab'[k % 2]}{draw.integers(30)}zzz" for k in range(80))) for i in range(200)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string"), rows
+
+
+@pytest.mark.parametrize("bucket_bytes", [1 << 23, 40_000])
+def test_every_word_chooses_its_class(spark, monkeypatch, bucket_bytes):
+    """Two words move on the driver, the others in one bucket, where none could do better at the end, or in three."""
+    found, run = [], brown_lm._exchanged
+
+    def kept(entries, vocabulary, *rest):
+        found.append((run(entries, vocabulary, *rest), vocabulary))
+        return found[0][0]
+
+    monkeypatch.setattr(brown_lm, "_exchanged", kept)
+    monkeypatch.setattr(brown_lm, "PATIENCE", 3)
+    docs, rows = _alternating(spark)
+    out = brown_lm.score(docs, core=2, n_classes=8, batch_bytes=30_000, bucket_bytes=bucket_bytes)
+    held = out.where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > 0.87 * held[1]
+    ((value, table, lost), vocabulary), = found
+    pairs = [(h, v) for r in value.join(vocabulary, "bucket").collect() for h, v in zip(
+        np.frombuffer(r.hashes, np.uint64), np.frombuffer(r.value, np.uint16) & brown_lm._CLASS)]
+    assert len(pairs) == 60 and len(value.collect()) == (1 if bucket_bytes > 1 << 20 else 3)
+    place = {h: i for i, (h, _) in enumerate(pairs)}
+    cls = np.array([int(v) for _, v in pairs])
+    n = np.zeros((61, 61))
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            at = [60, *(place[h] for h in brown_lm.tokens(pa.array([text]))[0]), 60]
+            np.add.at(n, (at[:-1], at[1:]), 1)
+    hot = np.eye(9)[np.append(cls, 8)]
+    assert (hot.T @ n @ hot == table).all()
+    part = n / n.sum(1, keepdims=True)
+    part[60] = 0
+    other = n / n.sum(0)
+    other[:, 60] = 0
+    assert np.allclose(hot.T @ (part + other) @ hot, lost, atol=0.01)
+    same = n.diagonal()[:60]
+    n[range(60), range(60)] = 0
+    gains = brown_lm.gains(cls, (n @ hot)[:60], (n.T @ hot)[:60], same, table)
+    assert bucket_bytes < 1 << 20 or (gains.max(1) <= gains[range(60), cls] + 1e-6).all()
+
+
+def test_gains_equal_those_of_the_whole_table():
+    draw = np.random.default_rng(1)
+    n_words, k = 30, 4
+    seq = np.concatenate([[*(draw.zipf(1.4, draw.integers(0, 30)) % n_words), n_words] for _ in range(40)])
+    cls, n = draw.integers(0, k, n_words), np.zeros((n_words + 1, n_words + 1))
+    np.add.at(n, (np.concatenate(([n_words], seq[:-1])), seq), 1)
+
+    def bigrams(cls):
+        hot = np.eye(k + 1)[np.append(cls, k)]
+        return hot.T @ n @ hot
+
+    table, hot, same = bigrams(cls), np.eye(k + 1)[np.append(cls, k)], n.diagonal()[:-1]
+    apart = n - np.diag(n.diagonal() * (np.arange(n_words + 1) < n_words))
+    got = brown_lm.gains(cls, (apart @ hot)[:-1], (apart.T @ hot)[:-1], same, table)
+    assert same.any()
+    for w in range(n_words):
+        for b in range(k):
+            moved = cls.copy()
+            moved[w] = b
+            change = brown_lm.likelihood(bigrams(moved)) - brown_lm.likelihood(table)
+            assert np.isclose(got[w, b] - got[w, cls[w]], change, atol=1e-8)
+
+
+def test_steps_into_and_out_of_unseen_words_add_up():
+    """An unseen word is in the classes by the shares that they have of its suffix group."""
+    n = np.array([[3, 5, 1], [4, 0, 2], [2, 1, 0]])
+    words_of = np.zeros((3, brown_lm.GROUPS))
+    words_of[:2, 7] = 1, 3
+    words_of[0, 9] = 4
+    model = brown_lm._estimate(None, np.arange(3), n, n.sum(0), words_of, 18, 9, 3)
+    step, whole = 10.0 ** model.transition, 10.0 ** brown_lm._with_unseen(model)
+    assert np.allclose(whole[:3, :3], step) and np.allclose(whole[:, :3].sum(1), 1)
+    emission = brown_lm.UNSEEN / (n.sum(0) + brown_lm.UNSEEN)
+    assert np.allclose(whole[1, 3 + 7], step[1, :2] @ (emission[:2] * [0.25, 0.75]))
+    assert np.allclose(whole[3 + 9, :3], step[0])
+    assert np.allclose(whole[3 + 20, :3], [0.625, 0.375, 0] @ step)
